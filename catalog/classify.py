@@ -151,9 +151,14 @@ def sold_sql(**columns: str) -> str:
     return f"WITH {PARTS_SOLD} SELECT l_partkey, " + ", ".join(f"{sql} AS {n}" for n, sql in columns.items()) + " FROM sold"
 
 
+def tenths_sql(x: str) -> str:
+    n = f"(floor({x} * 10) + CASE WHEN ({x} * 16 - (floor({x} * 10) * 2 + 1)) + {x} * 4 >= 0 THEN 1 ELSE 0 END)::BIGINT"
+    return f"(({n} // 10) || '.' || ({n} % 10))"
+
+
 def compact_sql(value: str) -> str:
     def scaled(number: str, unit: str) -> str:
-        return f"(CASE WHEN {number} < 9.95 THEN printf('%.1f', {number}) ELSE floor({number} + 0.5)::BIGINT::VARCHAR END || '{unit}')"
+        return f"(CASE WHEN {number} < 9.95 THEN {tenths_sql(number)} ELSE floor({number} + 0.5)::BIGINT::VARCHAR END || '{unit}')"
 
     size = f"abs({value})"
     text_ = f"CASE WHEN {size} < 1000 THEN {size}::BIGINT::VARCHAR WHEN {size} < 1000000 THEN {scaled(f'({size}::DOUBLE / 1000)', 'k')} ELSE {scaled(f'({size}::DOUBLE / 1000000)', 'M')} END"
@@ -181,7 +186,7 @@ def change_sql(added: str, removed: str) -> str:
 def relative_sql(value: str, net: bool) -> str:
     sign = f"CASE WHEN {value} < 0 THEN '-' WHEN {value} > 0 THEN '+' ELSE '' END || " if net else ""
     return (f"CASE WHEN before = 0 THEN CASE WHEN {value} = 0 THEN '0.0%' ELSE 'new' END "
-            f"ELSE {sign}printf('%.1f', round(abs({value}::DOUBLE / before) * 100, 9)) || '%' END")
+            f"ELSE {sign}{tenths_sql(f'(abs({value}::DOUBLE / before) * 100)')} || '%' END")
 
 
 added, removed, before = (lambda: F.col("added")), (lambda: F.col("removed")), (lambda: F.col("before"))
@@ -381,7 +386,8 @@ ENTRIES = [
     ("b22_share", sold_query(share=lambda: F.round(G.share(F.col("added") - F.col("removed"), F.col("before")), 6)),
      sold_sql(share="round(CASE WHEN before > 0 THEN least(1.0, abs(added - removed)::DOUBLE / before) ELSE 0.0 END, 6)")),
     ("b23_relative_change", sold_query(churn=lambda: G.relative_change(F.col("added") + F.col("removed"), F.col("before"), False),
-                                       net=lambda: G.relative_change(F.col("added") - F.col("removed"), F.col("before"), True)), None),
+                                       net=lambda: G.relative_change(F.col("added") - F.col("removed"), F.col("before"), True)),
+     sold_sql(churn=relative_sql("(added + removed)", False), net=relative_sql("(added - removed)", True))),
     ("b24_compact", sold_query(compact=lambda: G.compact(F.col("price")), small=lambda: G.compact(F.col("added") - F.col("removed"))),
      sold_sql(compact=compact_sql("price"), small=compact_sql("(added - removed)"))),
     ("b25_figure_texts", sold_query(signed=lambda: G.signed(F.col("added") - F.col("removed")),

@@ -48,9 +48,17 @@ def comment_share(lines: Column, comment_lines: Column) -> Column:
 
 
 # --- figures as text -----------------------------------------------------------
-def _fixed(value: Column, digits: int) -> Column:
-    """Fixed decimals, halves of the exact binary value rounded up."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+def _tenths(value: Column) -> Column:
+    """One decimal, rounded by the exact binary value, an exact half upwards.
+
+    ``1.45`` is held a little below 1.45 and reads 1.4; ``1.25`` is held exactly
+    and reads 1.3. The comparison with the half is exact in doubles.
+    """
+    size = value.cast("double")
+    down = F.floor(size * 10)
+    above_half = (size * 16 - (down * 2 + 1)) + size * 4 >= 0
+    tenths = (down + F.when(above_half, 1).otherwise(0)).cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def _whole(value: Column) -> Column:
@@ -62,7 +70,7 @@ def compact(value: Column) -> Column:
     size = F.abs(value)
 
     def scaled(number: Column, unit: str) -> Column:
-        short = F.when(number < 9.95, _fixed(number, 1)).otherwise(_whole(number))
+        short = F.when(number < 9.95, _tenths(number)).otherwise(_whole(number))
         return F.concat(short, F.lit(unit))
 
     text = (
@@ -101,7 +109,7 @@ def change_text(added: Column, removed: Column) -> Column:
 
 
 def relative_change(value: Column, before: Column, net: bool) -> Column:
-    percent = F.concat(_fixed(F.abs(value / before) * 100, 1), F.lit("%"))
+    percent = F.concat(_tenths(F.abs(value / before) * 100), F.lit("%"))
     sign = F.when(value < 0, "-").when(value > 0, "+").otherwise("") if net else F.lit("")
     return F.when(before == 0, F.when(value == 0, "0.0%").otherwise("new")).otherwise(F.concat(sign, percent))
 
@@ -112,7 +120,7 @@ def ratio_text(ratio: Column) -> Column:
     return (
         F.when(value == 0, "0%")
         .when(value < 0.1, "<0.1%")
-        .when(value < 10, F.concat(_fixed(value, 1), F.lit("%")))
+        .when(value < 10, F.concat(_tenths(value), F.lit("%")))
         .otherwise(F.concat(_whole(value), F.lit("%")))
     )
 

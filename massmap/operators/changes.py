@@ -149,6 +149,15 @@ def minimal_alignment():
     return F.pandas_udf(align, "removed array<int>, added array<int>")
 
 
+def with_common_ends(frame: DataFrame, before: str = "before_line_texts", after: str = "after_line_texts") -> DataFrame:
+    """Add ``head`` and ``tail``: how many lines both sides share at each end, never overlapping."""
+    old, new = F.col(before), F.col(after)
+    frame = frame.withColumn("head", _same_run(old, new))
+    rest_old = F.reverse(_between(old, F.col("head"), F.size(old) - F.col("head")))
+    rest_new = F.reverse(_between(new, F.col("head"), F.size(new) - F.col("head")))
+    return frame.withColumn("tail", _same_run(rest_old, rest_new))
+
+
 def with_line_diff(
     frame: DataFrame, before: str = "before_line_texts", after: str = "after_line_texts",
     cap: int = MAX_DIFF_REGION_LINES,
@@ -159,10 +168,7 @@ def with_line_diff(
     or past the cap, is wholly replaced; only what is left goes to Python.
     """
     old, new = F.col(before), F.col(after)
-    frame = frame.withColumn("__head", _same_run(old, new))
-    rest_old = F.reverse(_between(old, F.col("__head"), F.size(old) - F.col("__head")))
-    rest_new = F.reverse(_between(new, F.col("__head"), F.size(new) - F.col("__head")))
-    frame = frame.withColumn("__tail", _same_run(rest_old, rest_new))
+    frame = with_common_ends(frame, before, after).withColumnsRenamed({"head": "__head", "tail": "__tail"})
     frame = frame.withColumns(
         {
             "__out": F.size(old) - F.col("__head") - F.col("__tail"),
