@@ -86,7 +86,7 @@ def diff_rows(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DIFFS:
         home = place(spark, "diff")
-        P.diff(*A.revisions(spark, sf)).write.parquet(home)
+        P.diff(*A.revisions(spark, sf), similar=False).write.parquet(home)
         _DIFFS[key] = home
     return S.load_index(spark, _DIFFS[key])
 
@@ -100,7 +100,7 @@ def columns_sql(*names):
 
 
 def j9(spark, sf):
-    rows = P.diff(*A.revisions(spark, sf))
+    rows = P.diff(*A.revisions(spark, sf), similar=False)
     nets = [f"{s}_{m}" for s in ("churn", "net") for m in ("tokens", "lines", "code_lines")]
     return rows.select(*PLAIN, *COUNTS, *nets)
 
@@ -249,7 +249,18 @@ def l10_diff(spark, sf):
     return R.walk(diff_rows(spark, sf), "tokens", "churn", 5, True).groupBy("repo", "section").agg(F.count("*").alias("rows"), F.max("depth").alias("deepest"))
 
 
+def f1_similar(spark, sf):
+    """The moved documents again, this time edited on the way: only their likeness tells."""
+    before, after = A.revisions(spark, sf)
+    text = F.concat(F.col("content").cast("string"), F.lit("\nmoved"))
+    moved = F.col("path").startswith("moved/")
+    edited = after.withColumn("content", F.when(moved, text.cast("binary")).otherwise(F.col("content")))
+    changes = C.with_renames(C.changed_paths(before, edited))
+    return C.with_similar_renames(written(changes, "changes"), before, edited).select("repo", "path", "base_path", "status")
+
+
 ENTRIES = [
+    ("f1_similar_renames", f1_similar, None),
     ("a11_changed_paths", lambda spark, sf: changed(spark, sf).select("repo", "path", "status", "before_mode", "after_mode"),
      O.with_ctes(REVISIONS, "SELECT repo, path, status, CASE WHEN status <> 'added' THEN '100644' END AS before_mode, CASE WHEN status <> 'deleted' THEN '100644' END AS after_mode FROM raw_changes")),
     ("a12_untracked", a12, a12_sql()),

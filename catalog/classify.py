@@ -351,12 +351,6 @@ def b33(spark, sf):
                         ((value >= 0.4) & (F.col("lines") >= 40)).alias("marked"))
 
 
-def b38(spark, sf):
-    whole = parts_sold(spark, sf).agg(F.sum("added").alias("whole"))
-    return parts_sold(spark, sf).crossJoin(F.broadcast(whole)).select(
-        "l_partkey", F.round(F.when(F.col("whole") > 0, F.abs("removed") / F.col("whole")), 9).alias("kept"))
-
-
 ENTRIES = [
     ("b1_path_parts", over_corpus(name=name, ext=lambda: P.extension(F.lower(name())), stem=lambda: P.stem(name()),
                                   folders=lambda: F.array_join(P.folder_names(path()), "|")),
@@ -417,7 +411,6 @@ ENTRIES = [
     ("b35_reviews", b35_reviews, B35_REVIEW_SQL),
     ("b36_comparison_labels", b36, B36_SQL),
     ("b37_first_parent", b37, f"SELECT conv_id::VARCHAR AS repo, conv_id || ':' || turn AS sha, CASE WHEN turn = 0 THEN '{V.EMPTY_TREE}' ELSE conv_id || ':' || (turn - 1) END AS parent FROM conversations"),
-    ("b38_kept_share", b38, f"WITH {PARTS_SOLD}, w AS (SELECT sum(added)::DOUBLE AS whole FROM sold) SELECT l_partkey, round(CASE WHEN whole > 0 THEN abs(removed) / whole END, 9) AS kept FROM sold, w"),
     ("b39_age", b39, B39_SQL),
     ("d8_locale_levels", d8, O.with_ctes(f"{O.CORPUS},{O.PARTS},{O.LEVELS}", "SELECT repo, dir AS folder FROM levels")),
     ("d8_language_folders", d8_languages, O.with_ctes(

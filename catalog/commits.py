@@ -75,7 +75,7 @@ def listed(spark, sf):
 
 def spine(spark, sf):
     rows = written(listed(spark, sf), "listed")
-    return P.spine(rows, written(P.commit_files(rows, A.commit_snapshots(spark, sf)), "commits"))
+    return P.spine(rows, written(P.commit_files(rows, A.commit_snapshots(spark, sf), similar=False), "commits"))
 
 
 def plain_lines(text: str) -> str:

@@ -481,6 +481,13 @@ def e10(spark, sf):
                         F.lit(asked.limit).alias("lim"), F.lit(asked.tiles).alias("tiles"), F.lit(asked.offset).alias("off"))
 
 
+def b38(spark, sf):
+    """How much of each project the filters keep."""
+    rows = answer(lambda d, s, v: W.summary(s, v), FLAT)(spark, sf)
+    kept = F.when(F.col("project_weight") > 0, F.abs("selected_weight") / F.col("project_weight"))
+    return rows.select("repo", F.round(kept, 6).alias("kept"))
+
+
 MARK_COLUMNS = ["repo", "path", "path_visible", "category_visible", "included", "available"]
 
 
@@ -493,6 +500,7 @@ def marks_sql(view):
 
 
 ENTRIES = [
+    ("b38_kept_share", b38, "SELECT repo, round(CASE WHEN project_weight > 0 THEN abs(selected_weight)::DOUBLE / project_weight END, 6) AS kept FROM (" + summary_sql(FLAT) + ")"),
     ("d1_folders", d1, O.with_ctes(O.SCANNED, f"""SELECT DISTINCT repo, folder, {O.base('folder')} AS name, CASE WHEN folder <> '' THEN {O.folder('folder')} END AS parent, ({DEPTH.format('folder')})::INT AS depth
       FROM (SELECT repo, unnest({O.folders_above('path')}) AS folder FROM rows)""")),
     ("d2_folder_rollup", subtree_columns(FLAT, "weight", "added", "removed", *SUPPORTING, "files"),

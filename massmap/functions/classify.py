@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 
 from massmap.functions import fixed_values as V
 from massmap.functions.paths import base_name, extension, folder_names, stem
-from massmap.functions.text import trimmed, utf16_length
-
-
-def _names(values: list[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
+from massmap.functions.text import fixed_list, one_of, trimmed, utf16_length
 
 
 def under_any(path: Column, folders: list[str]) -> Column:
-    return F.arrays_overlap(folder_names(path), _names(folders))
+    return F.arrays_overlap(folder_names(path), fixed_list(folders))
 
 
 # --- locales ----------------------------------------------------------------
@@ -28,9 +24,9 @@ def locale_shaped(name: Column) -> Column:
 def locale_name(name: Column) -> Column:
     """A language code, alone or with a real region, script, or script and region."""
     language, qualifier, region = (F.regexp_extract(name, V.LOCALE_NAME, group) for group in (1, 2, 3))
-    known_language = language.isin(V.LANGUAGE_CODES + V.LEGACY_LANGUAGE_CODES)
-    tail = F.when(region != "", qualifier.isin(V.SCRIPT_CODES) & region.isin(V.REGION_CODES)).otherwise(
-        (qualifier == "") | qualifier.isin(V.REGION_CODES + V.SCRIPT_CODES)
+    known_language = one_of(language, V.LANGUAGE_CODES + V.LEGACY_LANGUAGE_CODES)
+    tail = F.when(region != "", one_of(qualifier, V.SCRIPT_CODES) & one_of(region, V.REGION_CODES)).otherwise(
+        (qualifier == "") | one_of(qualifier, V.REGION_CODES + V.SCRIPT_CODES)
     )
     return known_language & tail
 
@@ -56,18 +52,18 @@ def kind_by_path(path: Column, locale_copy: Column) -> Column:
     lower_name = F.lower(name)
     ext = extension(lower_name)
     return (
-        F.when(ext.isin(V.I18N_EXTENSIONS), "i18n")
+        F.when(one_of(ext, V.I18N_EXTENSIONS), "i18n")
         .when(named_like_test(name), "test")
         .when(locale_copy, "i18n")
-        .when(lower_name.isin(V.DATA_NAMES), "data")
-        .when(lower_name.isin(V.TEXT_NAMES), "text")
-        .when(ext.isin(V.DATA_EXTENSIONS), F.when(under_any(path, V.I18N_FOLDERS), "i18n").otherwise("data"))
-        .when(ext.isin(V.TEXT_EXTENSIONS), F.when(under_any(path, V.FIXTURE_FOLDERS), "data").otherwise("text"))
+        .when(one_of(lower_name, V.DATA_NAMES), "data")
+        .when(one_of(lower_name, V.TEXT_NAMES), "text")
+        .when(one_of(ext, V.DATA_EXTENSIONS), F.when(under_any(path, V.I18N_FOLDERS), "i18n").otherwise("data"))
+        .when(one_of(ext, V.TEXT_EXTENSIONS), F.when(under_any(path, V.FIXTURE_FOLDERS), "data").otherwise("text"))
         .when(
-            ext.isin(V.CODE_EXTENSIONS),
+            one_of(ext, V.CODE_EXTENSIONS),
             F.when(stemmed_like_test(name) | under_any(path, V.TEST_FOLDERS), "test").otherwise("code"),
         )
-        .when(ext.isin(V.OTHER_EXTENSIONS), "other")
+        .when(one_of(ext, V.OTHER_EXTENSIONS), "other")
         .otherwise("code")
     )
 
@@ -79,7 +75,7 @@ def kind_by_content(
     payload = (
         (kind == "code")
         & language.isNotNull()
-        & ~language.isin(V.QUOTING_LANGUAGES)
+        & ~one_of(language, V.QUOTING_LANGUAGES)
         & (content_chars >= V.MIN_CONTENT_CHARS)
         & (literal_chars >= content_chars * V.DATA_LITERAL_SHARE)
         & (largest <= literal_chars * V.MAX_LITERAL_DOMINANCE)
@@ -106,10 +102,10 @@ def generated_by_path(path: Column) -> Column:
     suffix = reduce(lambda left, right: left | right, [lower_name.endswith(s) for s in V.GENERATED_SUFFIXES])
     return (
         under_any(path, V.GENERATED_FOLDERS)
-        | lower_name.isin(V.GENERATED_NAMES)
+        | one_of(lower_name, V.GENERATED_NAMES)
         | lower_name.rlike(V.GENERATED_NAME_FAMILY)
         | suffix
-        | (extension(lower_name).isin(V.BUNDLE_EXTENSIONS) & hashed)
+        | (one_of(extension(lower_name), V.BUNDLE_EXTENSIONS) & hashed)
         | stem(name).rlike(V.GENERATED_STEM)
     )
 
@@ -184,12 +180,12 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
         by_result.setdefault(result, []).append(known)
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for result, keys in by_result.items():
-        chain = chain.when(key.isin(keys), result)
+        chain = chain.when(one_of(key, keys), result)
     return chain
 
 
 def language(name: Column, text: Column) -> Column:
-    shell = F.when(interpreter(text).isin(V.SHELL_INTERPRETERS), "bash")
+    shell = F.when(one_of(interpreter(text), V.SHELL_INTERPRETERS), "bash")
     return F.coalesce(_lookup(extension(F.lower(name)), V.LANGUAGE_BY_EXTENSION), shell)
 
 
@@ -200,7 +196,7 @@ def comment_syntax(name: Column, text: Column) -> Column:
         F.when(lower_name.rlike(V.SYNTAX_NAME_PREFIX), "hash"),
         _lookup(lower_name, V.SYNTAX_BY_NAME),
         _lookup(extension(lower_name), V.SYNTAX_BY_EXTENSION),
-        F.when(interpreter(text).isin(V.HASH_INTERPRETERS), "hash"),
+        F.when(one_of(interpreter(text), V.HASH_INTERPRETERS), "hash"),
     )
 
 

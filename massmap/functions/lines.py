@@ -82,8 +82,9 @@ PATTERNS = {name: marker_patterns(row) for name, row in {**V.SYNTAXES, **V.LANGU
 
 def pattern_column(syntax: Column, which: str) -> Column:
     """Look a pattern up by the name of its marker row; null without one."""
-    entries = [F.lit(value) for name, patterns in PATTERNS.items() for value in (name, patterns[which])]
-    return F.try_element_at(F.create_map(*entries), syntax)
+    entry, pair = "\x04", "\x05"
+    table = entry.join(f"{name}{pair}{patterns[which]}" for name, patterns in PATTERNS.items())
+    return F.try_element_at(F.str_to_map(F.lit(table), F.lit(entry), F.lit(pair)), syntax)
 
 
 def syntax_name(name: Column, text: Column) -> Column:

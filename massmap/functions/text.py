@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from massmap.functions.fixed_values import BINARY_CONTROLS, PRE_TOKEN, SPACE
 
 
+def one_of(value: Column, listed: list[str]) -> Column:
+    """Membership in a fixed list. The list travels as one literal, which keeps long plans short."""
+    return F.find_in_set(value, F.lit(",".join(listed))) > 0
+
+
+def fixed_list(listed: list[str]) -> Column:
+    """A fixed list as an array; constant folding turns it into one literal."""
+    return F.split(F.lit(",".join(listed)), ",")
+
+
 def has_content(text: Column) -> Column:
     """True where anything but white space (Unicode, with BOM) is left."""
     return text.rlike(f"[^{SPACE}]")

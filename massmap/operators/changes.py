@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massmap.functions.fixed_values import CONTEXT_LINES, MAX_DIFF_REGION_LINES
+from massmap.functions.fixed_values import CONTEXT_LINES, MAX_DIFF_REGION_LINES, MAX_FILE_BYTES
 from massmap.operators.ordered import ranked
+from massmap.session import written
 
 STATUSES = ["added", "modified", "deleted", "renamed"]
 
@@ -90,6 +91,92 @@ def with_renames(changes: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFra
     return changes.join(taken, [*keys, "path", "status"], "left_anti").select(*changes.columns).unionByName(pairs)
 
 
+SIMILARITY = 0.5
+SEEDS = 16
+
+
+def with_similar_renames(
+    changes: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str] = ("repo",), least: float = SIMILARITY
+) -> DataFrame:
+    """Pair deleted and added paths whose lines are at least half the same, best pairs first.
+
+    Sixteen minimum hashes of a file's lines are its sketch. Inside each sketch
+    bucket the n-th deleted file meets the n-th added one, so a bucket of any
+    size gives as many candidates as it has files, never their product. Each
+    candidate is then compared on its whole lines.
+    """
+    deleted = _sketched(changes.where("status = 'deleted'"), before, keys)
+    added = _sketched(changes.where("status = 'added'"), after, keys)
+    both = deleted.withColumn("side", F.lit("out")).unionByName(added.withColumn("side", F.lit("in")))
+    bucket = [*keys, "seed", "hash"]
+    spread = both.select(*keys, "path", "side", F.posexplode("sketch").alias("seed", "hash"))
+    numbered = ranked(spread, [*bucket, "side"], [F.col("path")], "turn")
+    out = numbered.where("side = 'out'").select(*bucket, "turn", F.col("path").alias("base_path"))
+    into = numbered.where("side = 'in'").select(*bucket, "turn", "path")
+    candidates = into.join(out, [*bucket, "turn"]).select(*keys, "path", "base_path").distinct()
+    old = deleted.select(*keys, F.col("path").alias("base_path"), F.col("sizes").alias("old"))
+    new = added.select(*keys, "path", F.col("sizes").alias("new"))
+    scored = candidates.join(old, [*keys, "base_path"]).join(new, [*keys, "path"])
+    shared = F.aggregate(
+        F.map_keys("old"), F.lit(0).cast("bigint"),
+        lambda total, line: total + F.least(F.coalesce(F.try_element_at("old", line), F.lit(0)),
+                                            F.coalesce(F.try_element_at("new", line), F.lit(0))),
+    )
+
+    def size(side: str) -> Column:
+        return F.aggregate(F.map_values(side), F.lit(0).cast("bigint"), lambda total, n: total + n)
+
+    likeness = shared / F.greatest(size("old"), size("new"))
+    edges = scored.select(*keys, "path", "base_path", likeness.alias("likeness")).where(F.col("likeness") >= least)
+    pairs = _best_pairs(written(edges, "edges"), keys)
+    if pairs is None:
+        return changes
+    out = changes.where("status = 'deleted'").select(*keys, F.col("path").alias("base_path"),
+                                                     F.col("before_mode").alias("old_mode"), F.col("before_blob").alias("old_blob"))
+    renamed = changes.where("status = 'added'").drop("base_path").join(pairs, [*keys, "path"]).join(out, [*keys, "base_path"]).select(
+        *keys, "path", "base_path", F.lit("renamed").alias("status"), F.col("old_mode").alias("before_mode"), "after_mode",
+        F.col("old_blob").alias("before_blob"), "after_blob",
+    )
+    gone = pairs.select(*keys, F.col("base_path").alias("path"), F.lit("deleted").alias("status"))
+    taken = gone.unionByName(pairs.select(*keys, "path", F.lit("added").alias("status")))
+    return changes.join(taken, [*keys, "path", "status"], "left_anti").select(*changes.columns).unionByName(
+        renamed.select(*changes.columns)
+    )
+
+
+def _sketched(paths: DataFrame, snapshot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Line sizes and sketch of each readable file: ``sizes`` maps a line's hash to its bytes in the file."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    held = snapshot.select(*keys, "path", "size", text.alias("text")).where(F.col("size") <= MAX_FILE_BYTES)
+    rows = paths.select(*keys, "path").join(held, [*keys, "path"]).where("text != ''")
+    lines = rows.select(*keys, "path", F.explode(F.split("text", "\n", -1)).alias("line"))
+    counted = lines.groupBy(*keys, "path", F.xxhash64("line").alias("code")).agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
+    return counted.groupBy(*keys, "path").agg(
+        F.map_from_entries(F.collect_list(F.struct("code", "bytes"))).alias("sizes"),
+        F.array(*[F.min(F.xxhash64("code", F.lit(seed))) for seed in range(SEEDS)]).alias("sketch"),
+    )
+
+
+def _best_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """One-to-one pairs: in each round those that are each other's best; until none is left."""
+    pairs = None
+    while not edges.isEmpty():
+        mine = edges.groupBy(*keys, "path").agg(F.max(F.struct("likeness", "base_path")).alias("best"))
+        theirs = edges.groupBy(*keys, "base_path").agg(F.max(F.struct("likeness", "path")).alias("best"))
+        won = mine.select(*keys, "path", F.col("best.base_path").alias("base_path")).join(
+            theirs.select(*keys, "base_path", F.col("best.path").alias("path")), [*keys, "path", "base_path"]
+        )
+        won = written(won, "pairs")
+        pairs = won if pairs is None else pairs.unionByName(won)
+        edges = written(
+            edges.join(won.select(*keys, "path"), [*keys, "path"], "left_anti").join(
+                won.select(*keys, "base_path"), [*keys, "base_path"], "left_anti"
+            ),
+            "edges",
+        )
+    return pairs
+
+
 # --- lines of one changed file, as arrays in its row ---------------------------
 def _same_run(left: Column, right: Column) -> Column:
     """How many leading entries two arrays share."""

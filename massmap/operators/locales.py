@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from massmap.functions.classify import locale_name, locale_shaped, regioned_locale
 from massmap.functions.fixed_values import I18N_FOLDERS, LOCALE_LEVEL_SHARE, MIN_LOCALE_ENTRIES
-from massmap.functions.paths import base_name, folder_names, folder_of, folder_chain, stem
+from massmap.functions.paths import base_name, folder_chain, folder_names, folder_of, stem
+from massmap.functions.text import one_of
 
 
 def _lower_folder(path):
@@ -48,7 +49,7 @@ def locale_levels(listing: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFr
         & (F.col("known") >= MIN_LOCALE_ENTRIES)
         & (F.col("known") >= F.col("entries") * LOCALE_LEVEL_SHARE)
     )
-    return judged.where(base_name(F.col("folder")).isin(I18N_FOLDERS) | by_entries).select(*keys, "folder")
+    return judged.where(one_of(base_name(F.col("folder")), I18N_FOLDERS) | by_entries).select(*keys, "folder")
 
 
 def with_locale_copy(

@@ -13,9 +13,10 @@ from massmap.functions.paths import base_name
 from massmap.functions.text import TokenCounter, decoded, pre_tokens, unix_newlines
 from massmap.operators.admission import in_folder_named
 from massmap.operators.changes import (
-    changed_paths, joined_lines, verdict_count, with_line_diff, with_renames,
+    changed_paths, joined_lines, verdict_count, with_line_diff, with_renames, with_similar_renames,
 )
 from massmap.operators.locales import locale_levels, with_locale_copy
+from massmap.session import written
 from massmap.plans.scan import FILE_COLUMNS, measured, refined_kind, with_literal_share
 
 
@@ -98,15 +99,21 @@ def diff(
     max_bytes: int = V.MAX_FILE_BYTES,
     tokens: TokenCounter = pre_tokens,
     renames: bool = True,
+    similar: bool = True,
 ) -> DataFrame:
     """One row per changed file, in the columns a scan has, plus ``capped``.
 
+    ``renames`` pairs moved files of equal content, ``similar`` then those that
+    also changed.
+
     Snapshots are ``(keys, path, mode, size, content[, blob])``; with ``blob``
     stored, unchanged contents are never read.
     """
     changes = changed_paths(before, after, keys)
     if renames:
-        changes = with_renames(changes, keys)
+        changes = written(with_renames(changes, keys), "changes")
+    if renames and similar:
+        changes = written(with_similar_renames(changes, before, after, keys), "changes")
     texts = changed_texts(changes, before, after, keys, exclude, max_bytes)
     levels = locale_levels(
         after.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys
