@@ -65,6 +65,8 @@ def with_renames(changes: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFra
     The n-th deleted path of a content goes to the n-th added one, so a content
     that a million empty files share makes a million rows and never their pairs.
     """
+    # A slim table, read by every step below; the snapshots are compared once.
+    changes = written(changes, "changes")
     on = [*keys, "blob"]
     deleted = F.col("status") == "deleted"
     added = F.col("status") == "added"

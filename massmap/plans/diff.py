@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from massmap.functions import classify
 from massmap.functions import fixed_values as V
+from massmap.functions.lines import split_lines
 from massmap.functions.paths import base_name
 from massmap.functions.text import TokenCounter, decoded, pre_tokens, unix_newlines
 from massmap.operators.admission import in_folder_named
@@ -34,37 +35,58 @@ def _named_refusal(exclude: Sequence[str]) -> Column:
     )
 
 
-def _side(changes: DataFrame, snapshot: DataFrame, keys: Sequence[str], at: str, prefix: str, max_bytes: int) -> DataFrame:
-    """Texts of one side of the changed files, or why there is none.
+SIDE_FIGURES = [
+    "tokens", "lines", "code_lines", "comment_lines", "blank_lines", "functions", "classes", "branches",
+    "literal_chars", "content_chars", "largest_literal",
+]
 
-    An inner join, so the slim change list filters the contents before they move.
+
+def _side(
+    changes: DataFrame, snapshot: DataFrame, keys: Sequence[str], at: str, prefix: str, max_bytes: int,
+    tokens: TokenCounter,
+) -> DataFrame:
+    """Texts of one side of the changed files with every figure, or why there is no text.
+
+    The slim change list is joined to the snapshot, so contents are filtered
+    before they move, and each text is measured in the task that reads it. A
+    side is judged whole, under the name it has on that side.
     """
     size = F.coalesce(F.col("size"), F.length("content").cast("bigint"))
     wanted = changes.select(*keys, "path", F.col(at).alias("__at"))
     held = snapshot.select(*keys, F.col("path").alias("__at"), "size", "content")
     found = wanted.join(held, [*keys, "__at"])
-    read = F.when(size <= max_bytes, decoded(F.col("content")))
-    return found.withColumn("__read", read).select(
+    read = found.withColumn("__read", F.when(size <= max_bytes, decoded(F.col("content")))).select(
         *keys,
         "path",
-        unix_newlines(F.col("__read.text")).alias(f"{prefix}_text"),
+        base_name(F.col("__at")).alias("name"),
+        unix_newlines(F.col("__read.text")).alias("text"),
         F.when(F.col("content").isNull(), "unreadable")
         .when(size > max_bytes, "too-large")
         .otherwise(F.coalesce(F.col("__read.reason"), F.lit("measured")))
-        .alias(f"{prefix}_reason"),
+        .alias("reason"),
+    )
+    figures = with_literal_share(measured(read, tokens=tokens))
+    made = F.coalesce(classify.generated_by_content(F.col("path"), F.col("text")), F.lit(False))
+    return figures.select(
+        *keys, "path",
+        *[F.col(c).alias(f"{prefix}_{c}") for c in ("text", "reason", "language", "verdicts", *SIDE_FIGURES)],
+        made.alias(f"{prefix}_made"),
     )
 
 
 def changed_texts(
     changes: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str] = ("repo",),
-    exclude: Sequence[str] = (), max_bytes: int = V.MAX_FILE_BYTES,
+    exclude: Sequence[str] = (), max_bytes: int = V.MAX_FILE_BYTES, tokens: TokenCounter = pre_tokens,
 ) -> DataFrame:
-    """Changed paths with both texts (empty for a side that does not exist) and ``measurement``."""
+    """Changed paths with both texts, both measured, and ``measurement``.
+
+    A side that does not exist is an empty text; a file either side refuses has none.
+    """
     named = changes.withColumn("__refusal", _named_refusal(exclude))
     open_rows = named.where(F.col("__refusal").isNull())
     on = [*keys, "path"]
-    old = _side(open_rows.where("status != 'added'"), before, keys, "base_path", "before", max_bytes)
-    new = _side(open_rows.where("status != 'deleted'"), after, keys, "path", "after", max_bytes)
+    old = _side(open_rows.where("status != 'added'"), before, keys, "base_path", "before", max_bytes, tokens)
+    new = _side(open_rows.where("status != 'deleted'"), after, keys, "path", "after", max_bytes, tokens)
     joined = named.join(old, on, "left").join(new, on, "left")
 
     def reason(side: str, absent: str) -> Column:
@@ -74,21 +96,25 @@ def changed_texts(
 
     first, second = reason("before", "added"), reason("after", "deleted")
     measurement = F.coalesce(F.col("__refusal"), F.when(first != "measured", first).otherwise(second))
-    body = {
-        f"{side}_text": F.when(F.col("measurement") == "measured", F.coalesce(F.col(f"{side}_text"), F.lit("")))
-        for side in ("before", "after")
-    }
-    return joined.withColumn("measurement", measurement).withColumns(body).select(*changes.columns, "measurement", *body)
+    whole = F.col("measurement") == "measured"
+    filled = {}
+    for side in ("before", "after"):
+        for text in ("text", "verdicts"):
+            filled[f"{side}_{text}"] = F.when(whole, F.coalesce(F.col(f"{side}_{text}"), F.lit("")))
+        for figure in SIDE_FIGURES:
+            filled[f"{side}_{figure}"] = F.when(whole, F.coalesce(F.col(f"{side}_{figure}"), F.lit(0).cast("bigint")))
+        filled[f"{side}_made"] = F.coalesce(F.col(f"{side}_made"), F.lit(False))
+    sides = [f"{side}_language" for side in ("before", "after")]
+    return joined.withColumn("measurement", measurement).withColumns(filled).select(
+        *changes.columns, "measurement", *sides, *filled
+    )
 
 
-def with_both_sides(texts: DataFrame, tokens: TokenCounter = pre_tokens) -> DataFrame:
-    """Measure both sides and align their lines. Each side is judged whole, under its own name."""
-    frame = texts.withColumns(
-        {"before_name": base_name(F.col("base_path")), "after_name": base_name(F.col("path"))}
+def with_both_sides(texts: DataFrame) -> DataFrame:
+    """Split both sides into lines and align them."""
+    return with_line_diff(
+        texts.withColumns({f"{side}_line_texts": split_lines(F.col(f"{side}_text")) for side in ("before", "after")})
     )
-    for side in ("before", "after"):
-        frame = measured(frame, f"{side}_text", f"{side}_name", f"{side}_", tokens)
-    return with_line_diff(frame)
 
 
 def diff(
@@ -114,7 +140,7 @@ def diff(
         changes = written(with_renames(changes, keys), "changes")
     if renames and similar:
         changes = written(with_similar_renames(changes, before, after, keys), "changes")
-    texts = changed_texts(changes, before, after, keys, exclude, max_bytes)
+    texts = changed_texts(changes, before, after, keys, exclude, max_bytes, tokens)
     levels = locale_levels(
         after.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys
     )
@@ -122,11 +148,11 @@ def diff(
 
 
 def file_rows(texts: DataFrame, keys: Sequence[str], tokens: TokenCounter = pre_tokens) -> DataFrame:
-    sides = with_both_sides(texts, tokens)
     path = F.col("path")
     language = F.coalesce(F.col("after_language"), F.col("before_language"))
-    frame = with_literal_share(sides.withColumn("language", language), "after_text")
-    after_or_before = F.when(F.col("after_text") != "", F.col("after_text")).otherwise(F.col("before_text"))
+    frame = with_both_sides(texts).withColumn("language", language)
+    # What the text says of its maker: the after image, or the before image where that is empty.
+    made = F.when(F.col("after_text") != "", F.col("after_made")).otherwise(F.col("before_made"))
     touched = {}
     for side, source in (("added", "after"), ("removed", "before")):
         verdicts, indices = F.col(f"{source}_verdicts"), F.col(side)
@@ -142,15 +168,13 @@ def file_rows(texts: DataFrame, keys: Sequence[str], tokens: TokenCounter = pre_
         {
             **{f"churn_{m}": F.col(f"added_{m}") + F.col(f"removed_{m}") for m in ("tokens", "lines", "code_lines")},
             **{f"net_{m}": F.col(f"added_{m}") - F.col(f"removed_{m}") for m in ("tokens", "lines", "code_lines")},
-            **{m: F.col(f"after_{m}") for m in ("tokens", "lines", "code_lines", "comment_lines", "blank_lines",
-                                               "functions", "classes", "branches")},
-            "name": F.col("after_name"),
-            "kind": refined_kind(path, F.col("locale_copy"), F.col("language")),
-            "generated": classify.generated_by_path(path)
-            | F.coalesce(classify.generated_by_content(path, after_or_before), F.lit(False)),
+            **{m: F.col(f"after_{m}") for m in SIDE_FIGURES},
+            "name": base_name(path),
+            "generated": classify.generated_by_path(path) | ((F.col("measurement") == "measured") & made),
             "previous_path": F.when(F.col("status") == "renamed", F.col("base_path")),
         }
     )
+    frame = frame.withColumn("kind", refined_kind(path, F.col("locale_copy"), F.col("language")))
     read = F.col("measurement") == "measured"
     plain = {"path", "name", "kind", "generated", "measurement", "status", "previous_path", "before_mode", "after_mode"}
     return frame.select(
