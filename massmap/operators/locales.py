@@ -11,6 +11,7 @@ from massmap.functions.classify import locale_name, locale_shaped, regioned_loca
 from massmap.functions.fixed_values import I18N_FOLDERS, LOCALE_LEVEL_SHARE, MIN_LOCALE_ENTRIES
 from massmap.functions.paths import base_name, folder_chain, folder_names, folder_of, stem
 from massmap.functions.text import one_of
+from massmap.session import written
 
 
 def _lower_folder(path):
@@ -60,8 +61,10 @@ def with_locale_copy(
     ``files`` may carry whole texts, so it is joined once, on its own folder, to
     the few folders that matter; those are worked out on the slim levels table.
     A file counts when a level is its own folder and its stem is a locale, or
-    when a locale-named folder above it sits in a level.
+    when a locale-named folder above it sits in a level. The levels are asked
+    twice, so they are written once instead of being worked out twice.
     """
+    levels = written(levels, "levels")
     placed = files.withColumn("__folder", _lower_folder(F.col("path"))).withColumn(
         "__stem", stem(base_name(F.lower(F.col("path"))))
     )
