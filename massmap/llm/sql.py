@@ -114,9 +114,12 @@ FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN ranges r USING (do
 
 OP10 = """
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
-placed AS (SELECT doc_id, bytes, unnest(range(1, (len(bytes) // 2) - 98)) AS i FROM texts WHERE len(bytes) >= 200),
-ordered AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(bytes, 2 * i - 1, 200)) ORDER BY doc_id, i) AS n FROM placed),
+cut AS (SELECT doc_id, bytes, unnest(range(0, len(bytes) // 2, 256)) AS s FROM texts),
+blocks AS MATERIALIZED (SELECT doc_id, s, substr(bytes, 2 * s + 1, 2 * (256 + 99)) AS block FROM cut),
+placed AS (
+  SELECT doc_id, s, block, unnest(range(1, least(256, len(block) // 2 - 99) + 1)) AS j FROM blocks WHERE len(block) >= 200),
+strings AS (SELECT doc_id, s + j AS i, substr(block, 2 * j - 1, 200) AS w FROM placed),
+ordered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(w) ORDER BY doc_id, i) AS n FROM strings),
 late AS (SELECT doc_id, i FROM ordered WHERE n > 1),
 starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM late),
 runs AS (
