@@ -179,14 +179,14 @@ def _runs(windows: Windows):
 
 
 def _repeated(split_over: int):
-    def told(v: np.ndarray, members: np.ndarray, hot: np.ndarray):
+    def told(members: np.ndarray, hot: np.ndarray):
         info = members["info"]
         return pa.record_batch(
             [
-                pa.array(members["doc"]), pa.array(v), pa.array(members["start"]),
+                pa.array(members["doc"]), pa.array(members["start"]),
                 pa.array(np.where(hot, info | _HOT, info).astype(np.int32)),
             ],
-            ["doc", "v", "start", "info"],
+            ["doc", "start", "info"],
         )
 
     def find(batches):
@@ -199,7 +199,7 @@ def _repeated(split_over: int):
             if flowing is not None:
                 more = int(np.searchsorted(v, flowing, side="right"))
                 if more:
-                    yield told(v[:more], members[:more], np.ones(more, bool))
+                    yield told(members[:more], np.ones(more, bool))
                 v, members = v[more:], members[more:]
                 if not len(v):
                     continue
@@ -215,18 +215,18 @@ def _repeated(split_over: int):
             size = np.repeat(sizes, sizes)
             keep = size > 1
             if keep.any():
-                yield told(v[:cut][keep], members[:cut][keep], (size > split_over)[keep])
+                yield told(members[:cut][keep], (size > split_over)[keep])
         if len(held_v) > 1:
-            yield told(held_v, held, np.zeros(len(held_v), bool))
+            yield told(held, np.zeros(len(held_v), bool))
 
     return find
 
 
 def repeated_runs(docs: DataFrame, windows: Windows, split_over: int) -> DataFrame:
-    """(doc, v, start, info) of every run whose anchor occurs at least twice in the corpus."""
+    """(doc, start, info) of every run whose anchor occurs at least twice in the corpus."""
     runs = docs.mapInArrow(_runs(windows), "v long, members binary")
     dealt = runs.repartition("v").sortWithinPartitions("v")
-    return dealt.mapInArrow(_repeated(split_over), "doc long, v long, start int, info int")
+    return dealt.mapInArrow(_repeated(split_over), "doc long, start int, info int")
 
 
 # --- 2: cut the runs out and send them to their buckets -----------------------------------
@@ -267,7 +267,6 @@ def _segments(windows: Windows):
             flat = runs.values
             starts = np.asarray(flat.field("start")).tolist()
             infos = np.asarray(flat.field("info")).tolist()
-            anchors = np.asarray(flat.field("v")).tolist()
             for row, text in enumerate(raw_texts(batch.column(1))):
                 piece, doc = windows.cutter(text), docs[row]
                 for k in range(ends[row], ends[row + 1]):
@@ -279,7 +278,8 @@ def _segments(windows: Windows):
                             packed = piece(start + j, size)
                             whole.append(((xxhash.xxh64_intdigest(packed) - (1 << 63), packed), (doc, start + j, 0), size))
                     else:
-                        whole = [((anchors[k], piece(start, n + size - 1)), (doc, start, at), n + size - 1)]
+                        anchor = xxhash.xxh64_intdigest(piece(start + at, windows.gram)) - (1 << 63)
+                        whole = [((anchor, piece(start, n + size - 1)), (doc, start, at), n + size - 1)]
                     for key, value, units in whole:
                         known = first.get(key)
                         if known is None:
@@ -378,7 +378,7 @@ def covered(docs: DataFrame, windows: Windows, split_over: int) -> DataFrame:
     by_doc = (
         repeated_runs(docs, windows, split_over)
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("start", "info", "v")).alias("runs"))
+        .agg(F.collect_list(F.struct("start", "info")).alias("runs"))
     )
     cut = docs.join(by_doc, "doc").mapInArrow(
         _segments(windows), "v long, at int, packed binary, doc long, start int"

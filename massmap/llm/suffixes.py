@@ -201,7 +201,7 @@ def _kept(batches):
 
 
 def dedup_suffixes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 100, gram: int = 32,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 100, gram: int = 24,
     split_over: int = 4096,
 ) -> DataFrame:
     """Remove each byte covered by a ``size``-byte string that also starts earlier.
