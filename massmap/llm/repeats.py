@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,25 @@ def chunked(lengths: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.nda
         row = stop
 
 
+# --- texts that travel ---------------------------------------------------------------
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.record_batch(
+            [batch.column(0), pa.array([pack(text) for text in raw_texts(batch.column(1))], pa.binary())], ["doc", "text"]
+        )
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with compressed texts: they are moved once, to meet their runs and again their spans."""
+    return docs.mapInArrow(_packed, "doc long, text binary")
+
+
+def unpacked(texts: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(text) for text in raw_texts(texts))
+
+
 # --- 1: runs whose anchor occurs more than once ---------------------------------------
 def _runs(windows: Windows):
     def find(batches):
@@ -267,7 +287,7 @@ def _segments(windows: Windows):
             flat = runs.values
             starts = np.asarray(flat.field("start")).tolist()
             infos = np.asarray(flat.field("info")).tolist()
-            for row, text in enumerate(raw_texts(batch.column(1))):
+            for row, text in enumerate(unpacked(batch.column(1))):
                 piece, doc = windows.cutter(text), docs[row]
                 for k in range(ends[row], ends[row + 1]):
                     start, info = starts[k], infos[k]
@@ -380,7 +400,7 @@ def covered(docs: DataFrame, windows: Windows, split_over: int) -> DataFrame:
         .groupBy("doc")
         .agg(F.collect_list(F.struct("start", "info")).alias("runs"))
     )
-    cut = docs.join(by_doc, "doc").mapInArrow(
+    cut = packed_texts(docs).join(by_doc, "doc").mapInArrow(
         _segments(windows), "v long, at int, packed binary, doc long, start int"
     )
     return (
@@ -389,9 +409,9 @@ def covered(docs: DataFrame, windows: Windows, split_over: int) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document with its covered spans, or null where it has none."""
+    """Each document (its text compressed) with its covered spans, or null where it has none."""
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return docs.join(gathered, "doc", "left")
+    return packed_texts(docs).join(gathered, "doc", "left")
 
 
 def marked(starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massmap.llm import repeats
-from massmap.llm.common import keyed, own_id, raw_texts
+from massmap.llm.common import keyed, own_id
 
 
 def judge_by_sorting(anchors, distances, packed, docs, starts, size):
@@ -50,7 +50,7 @@ def word_windows(size: int, minimiser: int) -> repeats.Windows:
 def _kept(batches):
     for batch in batches:
         counts, removed, kept, runs = [], [], [], []
-        for text, spans in zip(raw_texts(batch.column(1)), repeats.spans_by_row(batch.column(2))):
+        for text, spans in zip(repeats.unpacked(batch.column(1)), repeats.spans_by_row(batch.column(2))):
             words = text.split()
             counts.append(len(words))
             if spans is None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massmap.llm import repeats
-from massmap.llm.common import keyed, own_id, raw_texts
+from massmap.llm.common import keyed, own_id
 
 
 class Suffixes:
@@ -178,7 +178,7 @@ def byte_windows(size: int, gram: int) -> repeats.Windows:
 def _kept(batches):
     for batch in batches:
         counts, removed, kept, runs = [], [], [], []
-        for text, spans in zip(raw_texts(batch.column(1)), repeats.spans_by_row(batch.column(2))):
+        for text, spans in zip(repeats.unpacked(batch.column(1)), repeats.spans_by_row(batch.column(2))):
             counts.append(len(text))
             if spans is None:
                 removed.append(0)
