@@ -165,7 +165,7 @@ def _packed(batches):
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with compressed texts: they are moved once, to meet their runs and again their spans."""
-    return docs.mapInArrow(_packed, "doc long, text binary")
+    return docs.mapInArrow(_packed, "doc long not null, text binary")  # not null: no filter sets the two reads apart
 
 
 def unpacked(texts: pa.Array) -> Iterator[bytes]:
@@ -390,28 +390,24 @@ def _covered(windows: Windows):
 
 
 def covered(docs: DataFrame, windows: Windows, split_over: int) -> DataFrame:
-    """(doc, start, n): spans of units that lie in a window which also starts earlier.
+    """Each document (``doc``, ``text`` compressed) with ``spans``: (start, n) of units in repeated windows, or null.
 
-    ``docs`` holds ``doc`` (no nulls) and ``text``. Rows with the same ``doc`` are
-    the same document.
+    A window is repeated if it also starts earlier. ``docs`` holds ``doc`` (no nulls)
+    and ``text``. Rows with the same ``doc`` are the same document. Texts are moved
+    once: both joins read the same exchange.
     """
     by_doc = (
         repeated_runs(docs, windows, split_over)
         .groupBy("doc")
         .agg(F.collect_list(F.struct("start", "info")).alias("runs"))
     )
-    cut = packed_texts(docs).join(by_doc, "doc").mapInArrow(
+    texts = packed_texts(docs)
+    cut = texts.join(by_doc, "doc").mapInArrow(
         _segments(windows), "v long, at int, packed binary, doc long, start int"
     )
-    return (
-        cut.repartition("v").sortWithinPartitions("v").mapInArrow(_covered(windows), "doc long, start int, n int")
-    )
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document (its text compressed) with its covered spans, or null where it has none."""
+    spans = cut.repartition("v").sortWithinPartitions("v").mapInArrow(_covered(windows), "doc long, start int, n int")
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return packed_texts(docs).join(gathered, "doc", "left")
+    return texts.join(gathered, "doc", "left")
 
 
 def marked(starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:

@@ -90,8 +90,7 @@ def dedup_substrings(
     empty result.
     """
     texts = keyed(docs, id_col, text_col)
-    spans = repeats.covered(texts, word_windows(size, minimiser), split_over)
-    done = repeats.with_spans(texts, spans).mapInArrow(
+    done = repeats.covered(texts, word_windows(size, minimiser), split_over).mapInArrow(
         _kept, "doc long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,n:long>>"
     )
     return done.select(own_id().alias(id_col), "n_words", "n_removed", "kept_text", "removed")

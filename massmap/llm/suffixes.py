@@ -219,8 +219,7 @@ def dedup_suffixes(
     empty result.
     """
     texts = keyed(docs, id_col, text_col)
-    spans = repeats.covered(texts, byte_windows(size, gram), split_over)
-    done = repeats.with_spans(texts, spans).mapInArrow(
+    done = repeats.covered(texts, byte_windows(size, gram), split_over).mapInArrow(
         _kept, "doc long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,n:long>>"
     )
     return done.select(own_id().alias(id_col), "n_bytes", "n_removed", "kept", "removed")
