@@ -115,9 +115,10 @@ def dedup_lines(
     document of its own that comes first. Rows with the same id are one document,
     returned as often as it came. An empty table gives an empty result.
     """
+    # both sides grow with the corpus: the hint keeps the join the same at every size
     gone = deleted_ranges(keyed(docs, id_col, text_col), min_lines).select(
         F.col("doc").alias("__doc"), F.col("gone").alias("__gone")
-    )
+    ).hint("merge")
     joined = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))).join(
         gone, F.col("__key") == F.col("__doc"), "left"
     )
