@@ -31,7 +31,7 @@ from massmap.session import written
 SAMPLE = 20_000
 #: Cells at most; with more vectors a cell holds more of them.
 MOST_CELLS = 4096
-_LEAF = 64
+_LEAF = 128
 _FOUND = "query_id long, score double, vec_ids array<long>"
 
 
@@ -131,22 +131,29 @@ class Tree:
         self.high = np.array([self.points[a:b].max(axis=0) for a, b in self.leaves])
 
     def outwards(self, point: np.ndarray):
-        """Batches (squared distances, places) in order of distance; the first value of a batch bounds all later ones."""
+        """Batches (squared distances, places), ascending within and across batches.
+
+        Leaves are opened in the order of their boxes, twice as many at a time as
+        before; points beyond the next unopened box wait for a later batch.
+        """
         gaps = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
         boxes = np.einsum("ij,ij->i", gaps, gaps)
         nearest = np.argsort(boxes, kind="stable")
-        waiting: list[tuple[float, int]] = []
-        for rank, leaf in enumerate(nearest.tolist()):
-            a, b = self.leaves[leaf]
-            away = self.points[a:b] - point
-            for entry in zip(np.einsum("ij,ij->i", away, away).tolist(), range(a, b)):
-                heapq.heappush(waiting, entry)
-            bound = boxes[nearest[rank + 1]] if rank + 1 < len(nearest) else math.inf
-            ready = []
-            while waiting and waiting[0][0] <= bound:
-                ready.append(heapq.heappop(waiting))
-            if ready:
-                yield [entry[0] for entry in ready], self.order[[entry[1] for entry in ready]]
+        near, held = np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, 4
+        while at < len(nearest):
+            opened = nearest[at : at + step]
+            at, step = at + step, step * 2
+            bound = boxes[nearest[at]] if at < len(nearest) else math.inf
+            rows = np.concatenate([np.arange(*self.leaves[leaf]) for leaf in opened.tolist()])
+            away = self.points[rows] - point
+            near = np.concatenate((near, np.einsum("ij,ij->i", away, away)))
+            held = np.concatenate((held, self.order[rows]))
+            ready = near <= bound
+            if ready.any():
+                order = np.argsort(near[ready], kind="stable")
+                yield near[ready][order], held[ready][order]
+            near, held = near[~ready], held[~ready]
 
 
 def _search(dims: int, limit: float, k: int, lifted: float):
@@ -167,16 +174,23 @@ def _search(dims: int, limit: float, k: int, lifted: float):
                 for squared, places in tree.outwards(np.array(point, float)):
                     # squared distance of the k-th best so far, here or in the query's own cell
                     kth = worst if held < k else min(worst, own + lifted - 2 * best[0][0])
-                    if squared[0] > limit * max(kth, 0.0):
+                    reached = int(np.searchsorted(squared, limit * max(kth, 0.0), side="right"))
+                    if not reached:
                         break
+                    places = places[:reached]
                     scores = np.einsum("ij,j->i", base[places], vector)
-                    for score, place in zip(scores.tolist(), places.tolist()):
+                    # a class has at least one id, so no more than the k best scores of a batch can count
+                    least = np.partition(scores, -k)[-k] if len(scores) > k else -math.inf
+                    for j in np.flatnonzero(scores >= max(least, best[0][0] if held >= k else -math.inf)).tolist():
+                        score, place = float(scores[j]), int(places[j])
                         if held >= k and score < best[0][0]:
                             continue
                         heapq.heappush(best, (score, -min(ids[place]), place))
                         held += len(ids[place])
                         while held - len(ids[best[0][2]]) >= k:
                             held -= len(ids[heapq.heappop(best)[2]])
+                    if reached < len(squared):
+                        break
                 out += [(query, score, ids[place]) for score, _, place in best]
         return pd.DataFrame(out, columns=["query_id", "score", "vec_ids"])
 
@@ -233,7 +247,7 @@ def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, queries: str = "vec_id % 20 = 0",
-    k: int = 20, dims: int = 8, probability: float = 0.97, cell_rows: int = 4096, seed: int = 7,
+    k: int = 20, dims: int = 8, probability: float = 0.97, cell_rows: int = 8192, seed: int = 7,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` others with the largest inner product found.
 
