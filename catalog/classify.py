@@ -39,7 +39,7 @@ path, text = lambda: F.col("path"), lambda: F.col("text")
 name = lambda: P.base_name(path())
 
 # Names that are and are not locales, from the documents' own languages.
-LOCALE_TAILS = ["", "-us", "_cn", "-latn", "_hant-tw", "-log", "_no_log", "-LATN", "x", "-rs-latn", "_br"]
+LOCALE_TAILS = ["", "-us", "_cn", "-latn", "_hant-tw", "-map", "_da_map", "-LATN", "x", "-rs-latn", "_br"]
 
 
 def locale_candidate():

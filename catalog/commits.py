@@ -70,7 +70,7 @@ I5_SQL = O.with_ctes(f"{BRANCHED},{TIPS}", """SELECT DISTINCT repo, sha FROM bac
 
 
 def listed(spark, sf):
-    return C.listed_commits(A.commits(spark, sf))
+    return C.listed_commits(A.commits(spark, sf), 200)
 
 
 def spine(spark, sf):

@@ -28,8 +28,6 @@ EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 MAX_FILE_BYTES = 2 * 1024 * 1024
 MAX_PREVIEW_BYTES = 512 * 1024
 MAX_DIFF_REGION_LINES = 10_000
-MAX_SPINE_COMMITS = 200
-MAX_REFS = 1000
 MAX_COMMIT_BODY = 400
 MAX_RIBBON_PARTS = 20
 MIN_RIBBON_SHARE = 0.005
@@ -91,22 +89,33 @@ GENERATED_SUFFIXES = [
 ]
 
 # --- locale codes: ISO 639-1 and legacy languages, ISO 3166-1 regions, ISO 15924 scripts ---
-LANGUAGE_CODES = (
-    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el "
-    "en eo es et eu fa ff fi fil fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it "
-    "iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my "
-    "na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn "
-    "so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi wa wo xh yi yo za zh zu"
-).split()
+LANGUAGE_CODES = [
+    "aa", "ab", "ae", "af", "ak", "am", "an", "ar", "as", "av", "ay", "az", "ba", "be", "bg", "bh", "bi", "bm",
+    "bn", "bo", "br", "bs", "ca", "ce", "ch", "co", "cr", "cs", "cu", "cv", "cy", "da", "de", "dv", "dz", "ee",
+    "el", "en", "eo", "es", "et", "eu", "fa", "ff", "fi", "fil", "fj", "fo", "fr", "fy", "ga", "gd", "gl", "gn",
+    "gu", "gv", "ha", "he", "hi", "ho", "hr", "ht", "hu", "hy", "hz", "ia", "id", "ie", "ig", "ii", "ik", "io",
+    "is", "it", "iu", "ja", "jv", "ka", "kg", "ki", "kj", "kk", "kl", "km", "kn", "ko", "kr", "ks", "ku", "kv",
+    "kw", "ky", "la", "lb", "lg", "li", "ln", "lo", "lt", "lu", "lv", "mg", "mh", "mi", "mk", "ml", "mn", "mr",
+    "ms", "mt", "my", "na", "nb", "nd", "ne", "ng", "nl", "nn", "no", "nr", "nv", "ny", "oc", "oj", "om", "or",
+    "os", "pa", "pi", "pl", "ps", "pt", "qu", "rm", "rn", "ro", "ru", "rw", "sa", "sc", "sd", "se", "sg", "si",
+    "sk", "sl", "sm", "sn", "so", "sq", "sr", "ss", "st", "su", "sv", "sw", "ta", "te", "tg", "th", "ti", "tk",
+    "tl", "tn", "to", "tr", "ts", "tt", "tw", "ty", "ug", "uk", "ur", "uz", "ve", "vi", "wa", "wo", "xh", "yi",
+    "yo", "za", "zh", "zu",
+]
 LEGACY_LANGUAGE_CODES = ["in", "iw", "ji", "jw", "mo", "scc", "scr", "sh"]
-REGION_CODES = (
-    "ad ae af ag ai al am ao ar at au aw az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd cf cg ch ci "
-    "cl cm cn co cr cu cv cy cz de dj dk dm do dz ec ee eg er es et fi fj fm fo fr ga gb gd ge gh gm gn gq gr gt gw "
-    "gy hk hn hr ht hu id ie il in iq ir is it jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu "
-    "lv ly ma mc md me mg mh mk ml mm mn mo mr mt mu mv mw mx my mz na ne ng ni nl no np nz om pa pe pg ph pk pl pr "
-    "ps pt py qa ro rs ru rw sa sb sc sd se sg si sk sl sm sn so sr ss sv sy sz td tg th tj tm tn to tr tt tw tz ua ug "
-    "us uy uz ve vn vu ws ye za zm zw"
-).split()
+REGION_CODES = [
+    "ad", "ae", "af", "ag", "ai", "al", "am", "ao", "ar", "at", "au", "aw", "az", "ba", "bb", "bd", "be", "bf",
+    "bg", "bh", "bi", "bj", "bm", "bn", "bo", "br", "bs", "bt", "bw", "by", "bz", "ca", "cd", "cf", "cg", "ch",
+    "ci", "cl", "cm", "cn", "co", "cr", "cu", "cv", "cy", "cz", "de", "dj", "dk", "dm", "do", "dz", "ec", "ee",
+    "eg", "er", "es", "et", "fi", "fj", "fm", "fo", "fr", "ga", "gb", "gd", "ge", "gh", "gm", "gn", "gq", "gr",
+    "gt", "gw", "gy", "hk", "hn", "hr", "ht", "hu", "id", "ie", "il", "in", "iq", "ir", "is", "it", "jm", "jo",
+    "jp", "ke", "kg", "kh", "ki", "km", "kn", "kp", "kr", "kw", "ky", "kz", "la", "lb", "lc", "li", "lk", "lr",
+    "ls", "lt", "lu", "lv", "ly", "ma", "mc", "md", "me", "mg", "mh", "mk", "ml", "mm", "mn", "mo", "mr", "mt",
+    "mu", "mv", "mw", "mx", "my", "mz", "na", "ne", "ng", "ni", "nl", "no", "np", "nz", "om", "pa", "pe", "pg",
+    "ph", "pk", "pl", "pr", "ps", "pt", "py", "qa", "ro", "rs", "ru", "rw", "sa", "sb", "sc", "sd", "se", "sg",
+    "si", "sk", "sl", "sm", "sn", "so", "sr", "ss", "sv", "sy", "sz", "td", "tg", "th", "tj", "tm", "tn", "to",
+    "tr", "tt", "tw", "tz", "ua", "ug", "us", "uy", "uz", "ve", "vn", "vu", "ws", "ye", "za", "zm", "zw",
+]
 SCRIPT_CODES = ["arab", "cyrl", "deva", "hani", "hans", "hant", "latn", "olck", "piqd", "qabs"]
 
 # --- patterns (no look-around, so Java and RE2 read them alike) --------------

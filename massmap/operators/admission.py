@@ -57,22 +57,24 @@ def outside_exports(
     return placed.join(hidden, [*keys, "__folder"], "left_anti").select(*listing.columns)
 
 
-def unread_reason(path: Column, mode: Column, size: Column, exclude: Sequence[str], max_bytes: int) -> Column:
+def unread_reason(path: Column, mode: Column, size: Column, exclude: Sequence[str], max_bytes: int | None) -> Column:
     """Why a scan does not read a file; null when it does. No content is needed."""
-    return (
+    reason = (
         F.when(in_folder_named(path, exclude), "excluded")
         .when(mode == V.SYMLINK_MODE, "symlink")
         .when(mode == V.SUBMODULE_MODE, "submodule")
         .when(size.isNull(), "unreadable")
-        .when(size > max_bytes, "too-large")
     )
+    return reason if max_bytes is None else reason.when(size > max_bytes, "too-large")
 
 
 def admit(
-    snapshots: DataFrame, exclude: Sequence[str] = (), max_bytes: int = V.MAX_FILE_BYTES
+    snapshots: DataFrame, exclude: Sequence[str] = (), max_bytes: int | None = None
 ) -> DataFrame:
     """Add ``measurement`` and ``text``; rows refused by name never read ``content``.
 
+    Files of any size are read unless the caller sets a ceiling.
+
     The two branches are separate so that the refused one prunes the content
     column out of its scan.
     """
@@ -161,7 +163,8 @@ def ignore_rules(ignore_files: DataFrame, keys: Sequence[str] = ("repo",)) -> Da
         F.replace(F.replace(simple, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit("/.*")),
         F.lit("\x03"), F.lit("/(?:.*/)?"),
     )
-    pattern = F.concat(F.when(tied, "^").otherwise("(?:^|/)"), crossed, F.lit("$"))
+    # letter case plays no part in a match
+    pattern = F.concat(F.lit("(?iu)"), F.when(tied, "^").otherwise("(?:^|/)"), crossed, F.lit("$"))
     return rules.select(
         *keys,
         "base",

@@ -284,9 +284,15 @@ def with_line_diff(
 
 
 def verdict_count(verdicts: Column, indices: Column, letter: str) -> Column:
-    """How many of these lines got this verdict in their own whole text."""
-    letters = F.split(verdicts, "")
-    return F.size(F.filter(indices, lambda at: F.get(letters, at) == letter)).cast("bigint")
+    """How many of these lines got this verdict in their own whole text.
+
+    The letters are bound once per row: inside the filter they would be split again for every line.
+    """
+    row = F.struct(F.split(verdicts, "").alias("letters"), indices.alias("lines"))
+    counted = F.transform(
+        F.array(row), lambda r: F.size(F.filter(r["lines"], lambda at: F.get(r["letters"], at) == letter))
+    )
+    return F.get(counted, F.lit(0)).cast("bigint")
 
 
 def joined_lines(lines: Column, indices: Column) -> Column:

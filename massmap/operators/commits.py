@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massmap.functions.fixed_values import MAX_REFS, MAX_SPINE_COMMITS
 from massmap.functions.links import body, first_parent, subject
-from massmap.operators.ordered import top
+from massmap.operators.ordered import ranked, top
 from massmap.session import written
 
 
@@ -78,13 +77,19 @@ def without_merges(commits: DataFrame) -> DataFrame:
     return commits.where(F.size("parents") < 2)
 
 
-def listed_commits(commits: DataFrame, limit: int = MAX_SPINE_COMMITS) -> DataFrame:
-    """The newest commits of each repository's range, oldest first as ``ord``; ``omitted`` counts the rest."""
+def listed_commits(commits: DataFrame, limit: int | None = None) -> DataFrame:
+    """The commits of each repository's range, oldest first as ``ord``.
+
+    With a ``limit`` only the newest are listed and ``omitted`` counts the rest.
+    """
     straight = without_merges(commits)
-    newest = top(straight, ["repo"], [F.col("author_date").desc(), F.col("sha").desc()], limit, "newest")
+    order = [F.col("author_date").desc(), F.col("sha").desc()]
+    newest = (
+        ranked(straight, ["repo"], order, "newest") if limit is None else top(straight, ["repo"], order, limit, "newest")
+    )
     totals = straight.groupBy("repo").agg(F.count("*").alias("total"))
     within = newest.join(totals, "repo")
-    last = F.least(F.col("total"), F.lit(limit))
+    last = F.col("total") if limit is None else F.least(F.col("total"), F.lit(limit))
     return within.select(
         "repo",
         "sha",
@@ -98,9 +103,10 @@ def listed_commits(commits: DataFrame, limit: int = MAX_SPINE_COMMITS) -> DataFr
     )
 
 
-def listed_refs(refs: DataFrame, limit: int = MAX_REFS) -> DataFrame:
+def listed_refs(refs: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest branches, remote branches and tags ``(repo, name, kind, sha, date)`` per repository."""
-    newest = top(refs, ["repo"], [F.col("date").desc(), F.col("ref").asc()], limit, "place")
+    order = [F.col("date").desc(), F.col("ref").asc()]
+    newest = ranked(refs, ["repo"], order, "place") if limit is None else top(refs, ["repo"], order, limit, "place")
     kind = (
         F.when(F.col("ref").startswith("refs/heads/"), "branch")
         .when(F.col("ref").startswith("refs/remotes/"), "remote")
@@ -111,7 +117,7 @@ def listed_refs(refs: DataFrame, limit: int = MAX_REFS) -> DataFrame:
     return named.where(F.col("kind").isNotNull() & ~symbolic).select("repo", "place", "name", "kind", "sha")
 
 
-# --- runs of a listed range: at most MAX_SPINE_COMMITS entries per repository ----
+# --- runs of a listed range: windows per repository, meant for ranges with a limit ----
 def chained(spine: DataFrame) -> DataFrame:
     """Add ``run``: entries share it while each one's parent is the entry before."""
     order = Window.partitionBy("repo").orderBy("ord")

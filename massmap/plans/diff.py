@@ -42,7 +42,7 @@ SIDE_FIGURES = [
 
 
 def _side(
-    changes: DataFrame, snapshot: DataFrame, keys: Sequence[str], at: str, prefix: str, max_bytes: int,
+    changes: DataFrame, snapshot: DataFrame, keys: Sequence[str], at: str, prefix: str, max_bytes: int | None,
     tokens: TokenCounter,
 ) -> DataFrame:
     """Texts of one side of the changed files with every figure, or why there is no text.
@@ -55,13 +55,14 @@ def _side(
     wanted = changes.select(*keys, "path", F.col(at).alias("__at"))
     held = snapshot.select(*keys, F.col("path").alias("__at"), "size", "content")
     found = wanted.join(held, [*keys, "__at"])
-    read = found.withColumn("__read", F.when(size <= max_bytes, decoded(F.col("content")))).select(
+    too_large = F.lit(False) if max_bytes is None else size > max_bytes
+    read = found.withColumn("__read", F.when(~too_large, decoded(F.col("content")))).select(
         *keys,
         "path",
         base_name(F.col("__at")).alias("name"),
         unix_newlines(F.col("__read.text")).alias("text"),
         F.when(F.col("content").isNull(), "unreadable")
-        .when(size > max_bytes, "too-large")
+        .when(too_large, "too-large")
         .otherwise(F.coalesce(F.col("__read.reason"), F.lit("measured")))
         .alias("reason"),
     )
@@ -76,7 +77,7 @@ def _side(
 
 def changed_texts(
     changes: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str] = ("repo",),
-    exclude: Sequence[str] = (), max_bytes: int = V.MAX_FILE_BYTES, tokens: TokenCounter = pre_tokens,
+    exclude: Sequence[str] = (), max_bytes: int | None = None, tokens: TokenCounter = pre_tokens,
 ) -> DataFrame:
     """Changed paths with both texts, both measured, and ``measurement``.
 
@@ -122,7 +123,7 @@ def diff(
     after: DataFrame,
     keys: Sequence[str] = ("repo",),
     exclude: Sequence[str] = (),
-    max_bytes: int = V.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     tokens: TokenCounter = pre_tokens,
     renames: bool = True,
     similar: bool = True,

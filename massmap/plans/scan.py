@@ -81,7 +81,7 @@ def scan(
     snapshots: DataFrame,
     keys: Sequence[str] = ("repo",),
     exclude: Sequence[str] = (),
-    max_bytes: int = V.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     tokens: TokenCounter = pre_tokens,
 ) -> DataFrame:
     """Measure every file of ``(keys, path, mode, size, content)`` rows.

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """A one-machine session for tests and benches. Clusters bring their own."""
+def local_session(
+    cores: str = "8", shuffle_partitions: int = 8, driver_memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """A one-machine session for tests and benches. Clusters bring their own.
+
+    ``folder`` is where intermediate tables go; without one a new folder of this
+    machine is made, which all tasks of a local session share.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("massmap")
@@ -18,8 +25,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="massmap-"))
+        .config("spark.driver.memory", driver_memory)
+        .config("massmap.input.partitions", cores)
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="massmap-"))
         .getOrCreate()
     )
 
@@ -33,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     fallback = os.path.join(tempfile.gettempdir(), f"massmap-{spark.sparkContext.applicationId}")
     spark.conf.set("spark.checkpoint.dir", fallback)

@@ -20,10 +20,10 @@ FOLDERS = [
 ]
 NAMES = [
     "main.ts", "util.py", "README.md", "index.html", "app.css", "config.json", "messages.po", "fr.json",
-    "pt_BR.json", "service_test.go", "test_api.py", "CallTest.java", "HttpUrlTests.kt", "router-spec.js",
-    "latest.rb", "LICENSE", "requirements.txt", "go.sum", "package-lock.json", "bundle.min.js",
-    "index-DkR3sT1a.js", "main.073c9b0a.js", "MyComponent.js", "chunk.20240101.js", "types.gen.lua",
-    "contracts.generated.ts", "hugo_gen.md", "Dockerfile", "Makefile", ".env", ".pnp.cjs", "build.sh", "run",
+    "pt_BR.json", "service_test.go", "test_api.py", "LedgerTest.java", "ParcelTests.kt", "basket-spec.js",
+    "contest.rb", "LICENSE", "requirements.txt", "go.sum", "package-lock.json", "bundle.min.js",
+    "panel-Qm7XbW2k.js", "shell.5e81d40f.js", "MyComponent.js", "chunk.20240101.js", "types.gen.lua",
+    "contracts.generated.ts", "album_gen.md", "Dockerfile", "Makefile", ".env", ".pnp.cjs", "build.sh", "run",
     "schema.sql", "notes.txt", "diagram.svg", "page.vue", "settings.yaml", "en.yml", "zh_Hant_TW.md", "fix.patch",
     "init.lua", "main.tf",
 ]
@@ -36,23 +36,18 @@ HEADERS = [
 ]
 
 
-SPREAD_BELOW = 256 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
+    """Deal rows out to the number of tasks the session asks for in ``massmap.input.partitions``.
 
-    A table of one small file is one task, however many cores wait. Above the
-    limit the files split by themselves and a shuffle of whole texts would only
-    cost, so nothing is done. The size is that of the files, not a guess.
+    A table of one file is one task, however many cores wait. Without the setting
+    the files split by themselves and nothing is shuffled; data sizes play no part.
     """
-    spark = frame.sparkSession
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BELOW else frame
+    asked = frame.sparkSession.conf.get("massmap.input.partitions", None)
+    return frame.repartition(int(asked)) if asked else frame
 
 
 def _pick(values: list[str], number: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massmap.functions.fixed_values import MAX_PREVIEW_BYTES
 
 
 def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
@@ -59,7 +58,7 @@ def export_snapshot(
         frame.write.mode("errorifexists").parquet(f"{place}/{name}")
 
 
-def cut_text(text: Column, limit: int = MAX_PREVIEW_BYTES) -> Column:
+def cut_text(text: Column, limit: int) -> Column:
     """The longest whole-character prefix of a text within ``limit`` UTF-8 bytes."""
     raw = F.encode(text, "UTF-8")
     # A UTF-8 character is at most four bytes, so one of these four cuts is whole.
@@ -67,19 +66,19 @@ def cut_text(text: Column, limit: int = MAX_PREVIEW_BYTES) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*cuts))
 
 
-def previews(texts: DataFrame, limit: int = MAX_PREVIEW_BYTES) -> DataFrame:
-    """``(repo, path, content, truncated, total_bytes, error)``; unmeasured rows state why instead."""
+def previews(texts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Whole texts, or their first ``limit`` bytes: ``(repo, path, content, truncated, total_bytes, error)``; unmeasured rows state why instead."""
     return texts.select(
         "repo",
         "path",
-        cut_text(F.col("text"), limit).alias("content"),
-        (F.octet_length("text") > limit).alias("truncated"),
+        (F.col("text") if limit is None else cut_text(F.col("text"), limit)).alias("content"),
+        (F.octet_length("text") > (F.octet_length("text") if limit is None else limit)).alias("truncated"),
         F.octet_length("text").cast("bigint").alias("total_bytes"),
         F.when(F.col("measurement") != "measured", F.concat(F.lit("file is "), "measurement")).alias("error"),
     )
 
 
-def cut_lines(aligned: DataFrame, keys: Sequence[str] = ("repo",), limit: int = MAX_PREVIEW_BYTES) -> DataFrame:
+def cut_lines(aligned: DataFrame, keys: Sequence[str] = ("repo",), limit: int | None = None) -> DataFrame:
     """Leading whole lines of each file's aligned listing within ``limit`` bytes.
 
     The running sum stays inside one file, which the file size ceiling bounds.
@@ -88,4 +87,5 @@ def cut_lines(aligned: DataFrame, keys: Sequence[str] = ("repo",), limit: int =
 
     so_far = Window.partitionBy(*keys, "path").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.sum(F.octet_length("text") + 1).over(so_far)
-    return aligned.withColumn("bytes", size.cast("bigint")).where(F.col("bytes") <= limit)
+    sized = aligned.withColumn("bytes", size.cast("bigint"))
+    return sized if limit is None else sized.where(F.col("bytes") <= limit)

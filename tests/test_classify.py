@@ -7,11 +7,11 @@ from massmap.functions import text as T
 from massmap.operators.locales import locale_levels, with_locale_copy
 
 KINDS = {
-    "src/app.ts": "code", "Tool.scala": "code", "src/FooTest.scala": "code", "api/CallTest.java": "test",
-    "lib/router-spec.js": "test", "latest.rb": "code", "tests/conftest.py": "test", "tests/page.html": "other",
+    "src/app.ts": "code", "Tool.scala": "code", "src/FooTest.scala": "code", "api/LedgerTest.java": "test",
+    "lib/basket-spec.js": "test", "contest.rb": "code", "tests/conftest.py": "test", "tests/page.html": "other",
     "tests/fixtures/events.json": "data", "docs/testdata/out.txt": "data", "docs/guide.rst": "text", "LICENSE": "text",
     "go.mod": "data", "po/de.po": "i18n", "app/i18n/strings.json": "i18n", "app/i18n/reader.go": "code",
-    "content/pt_BR/index.md": "i18n", "config/no_log.yml": "data", "test_notes.md": "test", ".env": "code",
+    "content/pt_BR/index.md": "i18n", "config/da_map.yml": "data", "test_notes.md": "test", ".env": "code",
 }
 
 
