@@ -97,9 +97,11 @@ def scan_texts(
     admitted: DataFrame, levels: DataFrame, keys: Sequence[str] = ("repo",), tokens: TokenCounter = pre_tokens
 ) -> DataFrame:
     """``scan`` after admission: rows carry ``path``, ``text`` and ``measurement``."""
-    marked = with_locale_copy(admitted.select(*keys, "path", "measurement", "text"), levels, keys)
-    named = marked.withColumn("name", base_name(F.col("path")))
+    named = admitted.select(*keys, "path", "measurement", "text").withColumn("name", base_name(F.col("path")))
     figures = with_literal_share(measured(named, tokens=tokens))
+    made = F.coalesce(classify.generated_by_content(F.col("path"), F.col("text")), F.lit(False))
+    # texts are judged where they are read; only slim rows meet the locale folders
+    figures = with_locale_copy(figures.withColumn("__made", made).drop("text"), levels, keys)
     read = F.col("measurement") == "measured"
     path = F.col("path")
     zero = F.when(read, F.lit(0).cast("bigint"))
@@ -108,8 +110,7 @@ def scan_texts(
         "path",
         "name",
         refined_kind(path, F.col("locale_copy"), F.col("language")).alias("kind"),
-        (classify.generated_by_path(path)
-         | F.coalesce(classify.generated_by_content(path, F.col("text")), F.lit(False))).alias("generated"),
+        (classify.generated_by_path(path) | F.col("__made")).alias("generated"),
         "measurement",
         F.lit("unchanged").alias("status"),
         *[F.lit(None).cast("string").alias(name) for name in ("previous_path", "before_mode", "after_mode")],

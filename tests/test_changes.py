@@ -64,28 +64,28 @@ def snapshot(spark, files):
 def test_comparison_rows(spark):
     plain = "100644"
     before = snapshot(spark, [
-        ("src/main.ts", plain, b"const a = 1;\nconst b = 2;\n"), ("src/gone.ts", plain, b"x();\ny();\n"),
-        ("src/old/name.md", plain, b"same\n"), ("crlf.txt", plain, b"a\r\nb\r\n"), ("link", plain, b"x"), ("big.bin", plain, b"ok\n"),
-        ("run.sh", plain, b"echo\n"),
+        ("lib/sum.ts", plain, b"let p = 1;\nlet q = 2;\nlet r = 3;\n"), ("lib/dead.ts", plain, b"f();\ng();\nh();\n"),
+        ("notes/a.txt", plain, b"kept\n"), ("ends.txt", plain, b"one\r\ntwo\r\n"), ("pipe", plain, b"x"),
+        ("blob.dat", plain, b"fine\n"), ("start.sh", plain, b"echo\n"),
     ])
     after = snapshot(spark, [
-        ("src/main.ts", plain, b"// one\n// two\n// three\nconst a = 1;\nconst c = 3;\nlet d;\nlet e;\n"),
-        ("src/fresh.ts", plain, b"// head\nf();\ng();\n"), ("src/new/name.md", plain, b"same\n"), ("crlf.txt", plain, b"a\nb\n"),
-        ("link", "120000", b"target"), ("big.bin", plain, b"a\x00b"), ("run.sh", "100755", b"echo\n"),
+        ("lib/sum.ts", plain, b"// first\n// second\nlet p = 1;\nlet q = 5;\nlet r = 3;\nlet s;\n"),
+        ("lib/new.ts", plain, b"// top\nrun();\n"), ("notes/b/a.txt", plain, b"kept\n"), ("ends.txt", plain, b"one\ntwo\n"),
+        ("pipe", "120000", b"goal"), ("blob.dat", plain, b"q\x00r"), ("start.sh", "100755", b"echo\n"),
     ])
     got = {r.path: r for r in diff(before, after).collect()}
-    main = got["src/main.ts"]
-    assert (main.added_comment_lines, main.added_code_lines, main.removed_code_lines) == (3, 3, 1)
-    gone = got["src/gone.ts"]
-    assert (gone.status, gone.lines, gone.net_lines, gone.before_lines) == ("deleted", 0, -2, 2)
-    fresh = got["src/fresh.ts"]
-    assert (fresh.added_code_lines, fresh.added_comment_lines) == (2, 1)
-    moved = got["src/new/name.md"]
-    assert (moved.status, moved.previous_path, moved.churn_lines) == ("renamed", "src/old/name.md", 0)
-    assert got["crlf.txt"].churn_lines == 0
-    assert (got["link"].measurement, got["link"].tokens) == ("symlink", None)
-    assert got["big.bin"].measurement == "binary"
-    assert (got["run.sh"].status, got["run.sh"].churn_tokens) == ("modified", 0)
+    edited = got["lib/sum.ts"]
+    assert (edited.added_comment_lines, edited.added_code_lines, edited.removed_code_lines) == (2, 2, 1)
+    gone = got["lib/dead.ts"]
+    assert (gone.status, gone.lines, gone.net_lines, gone.before_lines) == ("deleted", 0, -3, 3)
+    fresh = got["lib/new.ts"]
+    assert (fresh.added_code_lines, fresh.added_comment_lines) == (1, 1)
+    moved = got["notes/b/a.txt"]
+    assert (moved.status, moved.previous_path, moved.churn_lines) == ("renamed", "notes/a.txt", 0)
+    assert got["ends.txt"].churn_lines == 0
+    assert (got["pipe"].measurement, got["pipe"].tokens) == ("symlink", None)
+    assert got["blob.dat"].measurement == "binary"
+    assert (got["start.sh"].status, got["start.sh"].churn_tokens) == ("modified", 0)
     for row in got.values():
         if row.measurement == "measured":
             assert row.lines == row.code_lines + row.comment_lines
@@ -132,3 +132,19 @@ def test_ranks_agree_with_windows_on_a_hot_group(spark):
     assert got.count() == 3000
     far = top(frame, ["repo"], order, 1001).groupBy("repo").count().where("repo = 'hot'").collect()[0][1]
     assert far == 1000
+
+
+def test_verdicts_of_many_lines_take_linear_time(spark):
+    import time
+
+    def took(lines):
+        frame = spark.range(1).select(F.repeat(F.lit("c"), lines).alias("v"), F.sequence(F.lit(0), F.lit(lines - 1)).alias("at"))
+        best = None
+        for _ in range(3):
+            started = time.time()
+            assert frame.select(C.verdict_count(F.col("v"), F.col("at"), "c").alias("n")).collect()[0].n == lines
+            best = min(best or 1e9, time.time() - started)
+        return best
+
+    took(1000)
+    assert took(320_000) < 20 * took(40_000) + 1

@@ -67,3 +67,21 @@ def test_rescan_keeps_the_newest(spark, tmp_path):
     assert arrive([("r", "a", 3, "one two"), ("r", "a", 2, "x"), ("r", "c", 1, "")]) == {("a", 3, 3), ("b", 1, 3), ("c", 1, 0)}
     M.merge_batch(index)(spark.createDataFrame([("r", "b", 0, 9)], "repo string, path string, version bigint, tokens bigint"), 7)
     assert {(r.path, r.version) for r in spark.read.parquet(index).collect()} == {("a", 3), ("b", 1), ("c", 1)}
+
+
+def test_ignore_rules_do_not_mind_letter_case(spark):
+    from massmap.operators import admission as D
+
+    paths = ["README.MD", "Build/x.o", "build/keep.txt", "src/Main.go", "docs/KEEP.md"]
+    listing = spark.createDataFrame([("r", path) for path in paths], "repo string, path string")
+    rules = D.ignore_rules(spark.createDataFrame([("r", ".gitignore", "*.md\nBUILD/\n!keep.md\n")], "repo string, path string, text string"))
+    assert {r.path for r in D.ignored(listing, rules).collect()} == {"README.MD", "Build/x.o", "build/keep.txt"}
+
+
+def test_files_of_any_size_are_read_unless_a_ceiling_is_asked_for(spark):
+    from massmap.operators import admission as D
+
+    body = b"x = 1\n" * 600_000
+    frame = spark.createDataFrame([("r", "big.py", "100644", len(body), body)], "repo string, path string, mode string, size bigint, content binary")
+    assert D.admit(frame).first().measurement == "measured"
+    assert D.admit(frame, max_bytes=2 << 20).first().measurement == "too-large"

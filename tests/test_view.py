@@ -4,13 +4,13 @@ from massmap.plans import view as W
 from tests.weighted import weighted
 
 TREE = [
-    {"path": "README.md", "tokens": 7, "kind": "text"},
-    {"path": "src/main.ts", "tokens": 50},
-    {"path": "src/util.ts", "tokens": 30},
-    {"path": "src/deep/helper.ts", "tokens": 20},
-    {"path": "tests/main.test.ts", "tokens": 10, "kind": "test"},
-    {"path": "dist/bundle.js", "tokens": 400, "generated": True},
-    {"path": "src/logo.png", "measurement": "binary", "kind": "code"},
+    {"path": "HELP.md", "tokens": 9, "kind": "text"},
+    {"path": "kit/start.go", "tokens": 60},
+    {"path": "kit/tools.go", "tokens": 25},
+    {"path": "kit/inner/parse.go", "tokens": 15},
+    {"path": "checks/start_test.go", "tokens": 12, "kind": "test"},
+    {"path": "out/all.js", "tokens": 350, "generated": True},
+    {"path": "kit/icon.png", "measurement": "binary", "kind": "code"},
 ]
 
 
@@ -19,45 +19,45 @@ def answers(spark, rows, **request):
 
 
 def test_tree_detail_and_summary(spark):
-    got = answers(spark, TREE, expanded=("", "src"))
+    got = answers(spark, TREE, expanded=("", "kit"))
     drawn = [(r.depth, r.path, r.row_kind, r.weight, r.files) for r in got["tree"].orderBy("sort_key").collect()]
     assert drawn == [
-        (0, "", "folder", 117, 7), (1, "", "files", 7, 1), (1, "dist", "folder", 0, 1), (1, "src", "folder", 100, 4),
-        (2, "src", "files", 80, 3), (2, "src/deep", "folder", 20, 1), (1, "tests", "folder", 10, 1),
+        (0, "", "folder", 121, 7), (1, "", "files", 9, 1), (1, "checks", "folder", 12, 1), (1, "kit", "folder", 100, 4),
+        (2, "kit", "files", 85, 3), (2, "kit/inner", "folder", 15, 1), (1, "out", "folder", 0, 1),
     ]
     by_path = {(r.path, r.row_kind): r for r in got["tree"].collect()}
-    assert by_path["dist", "folder"].filtered_out
-    assert by_path["src", "files"].unmeasured_files == 1
+    assert by_path["out", "folder"].filtered_out
+    assert by_path["kit", "files"].unmeasured_files == 1
     one = got["summary"].collect()[0]
-    assert (one.project_weight, one.selected_weight, one.selected_files) == (517, 117, 5)
+    assert (one.project_weight, one.selected_weight, one.selected_files) == (471, 121, 5)
     stats = {r.flavor: (r.weight, r.enabled) for r in got["flavors"].collect()}
-    assert stats["generated"] == (400, False) and stats["code"] == (100, True) and stats["i18n"] == (0, True)
+    assert stats["generated"] == (350, False) and stats["code"] == (100, True) and stats["i18n"] == (0, True)
     seen = got["detail"].collect()[0]
     assert (seen.shown_files, seen.available_files, seen.unmeasured_files, seen.generated_files) == (5, 7, 1, 1)
 
 
 def test_weight_order(spark):
-    got = answers(spark, TREE, expanded=("", "src"), tree_sort="weight", show_generated=True)
+    got = answers(spark, TREE, expanded=("", "kit"), tree_sort="weight", show_generated=True)
     drawn = [r.path for r in got["tree"].where("row_kind = 'folder'").orderBy("sort_key").collect()]
-    assert drawn == ["", "dist", "src", "src/deep", "tests"]
+    assert drawn == ["", "out", "kit", "kit/inner", "checks"]
 
 
 def test_exclusions_inherit_and_mark(spark):
-    got = answers(spark, TREE, expanded=("", "src"), excluded_folders=("src",), excluded_direct=("tests",))
+    got = answers(spark, TREE, expanded=("", "kit"), excluded_folders=("kit",), excluded_direct=("checks",))
     rows = {(r.path, r.row_kind): r for r in got["tree"].collect()}
-    assert not rows["src", "folder"].included and not rows["src", "folder"].disabled
-    assert rows["src/deep", "folder"].disabled
-    assert rows["", "folder"].indeterminate and rows["tests", "folder"].indeterminate
-    assert rows["", "folder"].weight == 7
+    assert not rows["kit", "folder"].included and not rows["kit", "folder"].disabled
+    assert rows["kit/inner", "folder"].disabled
+    assert rows["", "folder"].indeterminate and rows["checks", "folder"].indeterminate
+    assert rows["", "folder"].weight == 9
 
 
 def test_ribbon_tail(spark):
-    heavy = [{"path": "core/main.ts", "tokens": 12000}] + [{"path": f"tail{n:02d}/i.ts", "tokens": 1} for n in range(12)]
+    heavy = [{"path": "base/x.go", "tokens": 9000}] + [{"path": f"bit{n}/y.go", "tokens": 1} for n in range(9)]
     names = [r.name for r in answers(spark, heavy)["ribbon"].orderBy("place").collect()]
-    assert names == ["core", "12 more folders"]
-    even = [{"path": f"part{n:02d}/i.ts", "tokens": 5} for n in range(25)]
+    assert names == ["base", "9 more folders"]
+    even = [{"path": f"lane{n:02d}/z.go", "tokens": 4} for n in range(23)]
     names = [r.name for r in answers(spark, even)["ribbon"].orderBy("place").collect()]
-    assert len(names) == 21 and names[-1] == "5 more folders"
+    assert len(names) == 21 and names[-1] == "3 more folders"
 
 
 def test_tiles_fill_one_row(spark):
@@ -76,14 +76,14 @@ def test_pages_clamp_and_names_never_cut(spark):
     named = answers(spark, rows, limit=3, metric="name")["ranked"].orderBy("path").collect()
     assert [r.path for r in named] == ["f00.ts", "f01.ts", "f02.ts"]
     floor = answers(spark, TREE, min_weight=40)["files"].select(F.collect_set("path")).collect()[0][0]
-    assert set(floor) == {"src/main.ts", "src/logo.png"}
+    assert set(floor) == {"kit/start.go", "kit/icon.png"}
 
 
 def test_scope_and_selection(spark):
-    got = answers(spark, TREE, scope="src", selected="tests")
-    assert got["detail"].collect()[0].path == "src"
-    assert {r.folder for r in got["expandable"].collect()} == {"src", "src/deep"}
-    direct = answers(spark, TREE, selected="src", selected_direct=True)
+    got = answers(spark, TREE, scope="kit", selected="checks")
+    assert got["detail"].collect()[0].path == "kit"
+    assert {r.folder for r in got["expandable"].collect()} == {"kit", "kit/inner"}
+    direct = answers(spark, TREE, selected="kit", selected_direct=True)
     one = direct["detail"].collect()[0]
-    assert (one.title, one.trail, one.weight) == (".", ["", "src"], 80)
-    assert {r.path for r in direct["files"].collect()} == {"src/main.ts", "src/util.ts", "src/logo.png"}
+    assert (one.title, one.trail, one.weight) == (".", ["", "kit"], 85)
+    assert {r.path for r in direct["files"].collect()} == {"kit/start.go", "kit/tools.go", "kit/icon.png"}
