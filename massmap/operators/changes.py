@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massmap.functions.fixed_values import CONTEXT_LINES, MAX_DIFF_REGION_LINES, MAX_FILE_BYTES
+from massmap.functions.fixed_values import CONTEXT_LINES, MAX_DIFF_REGION_LINES
+from massmap.functions.text import decoded
 from massmap.operators.ordered import ranked
 from massmap.session import written
 
@@ -94,28 +95,38 @@ def with_renames(changes: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFra
 
 
 SIMILARITY = 0.5
-SEEDS = 16
+SEEDS = 32
+# A line that more files of one side hold says little about which of them belong together.
+WIDE = 8
+# So many files of each side meet all of each other in a bucket; beyond, the n-th meets the n-th.
+MEETING = 8
 
 
 def with_similar_renames(
-    changes: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str] = ("repo",), least: float = SIMILARITY
+    changes: DataFrame, before: DataFrame, after: DataFrame, keys: Sequence[str] = ("repo",), least: float = SIMILARITY,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Pair deleted and added paths whose lines are at least half the same, best pairs first.
 
-    Sixteen minimum hashes of a file's lines are its sketch. Inside each sketch
-    bucket the n-th deleted file meets the n-th added one, so a bucket of any
-    size gives as many candidates as it has files, never their product. Each
-    candidate is then compared on its whole lines.
+    Minimum hashes of the lines that few files share are a file's sketch. Inside
+    each sketch bucket the first files of both sides meet all of each other and
+    the n-th deleted meets the n-th added one, so a bucket of any size gives a
+    multiple of its files as candidates, never their product. Each candidate is
+    then compared on its whole lines.
     """
-    deleted = _sketched(changes.where("status = 'deleted'"), before, keys)
-    added = _sketched(changes.where("status = 'added'"), after, keys)
+    deleted = _sketched(changes.where("status = 'deleted'"), before, keys, max_bytes)
+    added = _sketched(changes.where("status = 'added'"), after, keys, max_bytes)
     both = deleted.withColumn("side", F.lit("out")).unionByName(added.withColumn("side", F.lit("in")))
     bucket = [*keys, "seed", "hash"]
     spread = both.select(*keys, "path", "side", F.posexplode("sketch").alias("seed", "hash"))
     numbered = ranked(spread, [*bucket, "side"], [F.col("path")], "turn")
     out = numbered.where("side = 'out'").select(*bucket, "turn", F.col("path").alias("base_path"))
     into = numbered.where("side = 'in'").select(*bucket, "turn", "path")
-    candidates = into.join(out, [*bucket, "turn"]).select(*keys, "path", "base_path").distinct()
+    first = F.col("turn") <= MEETING
+    meeting = into.where(first).drop("turn").join(out.where(first).drop("turn"), bucket)
+    candidates = into.join(out, [*bucket, "turn"]).select(*keys, "path", "base_path").unionByName(
+        meeting.select(*keys, "path", "base_path")
+    ).distinct()
     old = deleted.select(*keys, F.col("path").alias("base_path"), F.col("sizes").alias("old"))
     new = added.select(*keys, "path", F.col("sizes").alias("new"))
     scored = candidates.join(old, [*keys, "base_path"]).join(new, [*keys, "path"])
@@ -146,25 +157,36 @@ def with_similar_renames(
     )
 
 
-def _sketched(paths: DataFrame, snapshot: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _sketched(paths: DataFrame, snapshot: DataFrame, keys: Sequence[str], max_bytes: int | None) -> DataFrame:
     """Line sizes and sketch of each readable file: ``sizes`` maps a line's hash to its bytes in the file."""
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    held = snapshot.select(*keys, "path", "size", text.alias("text")).where(F.col("size") <= MAX_FILE_BYTES)
+    held = snapshot.select(*keys, "path", "size", decoded(F.col("content"))["text"].alias("text"))
+    if max_bytes is not None:
+        held = held.where(F.col("size") <= max_bytes)
     rows = paths.select(*keys, "path").join(held, [*keys, "path"]).where("text != ''")
     lines = rows.select(*keys, "path", F.explode(F.split("text", "\n", -1)).alias("line"))
     counted = lines.groupBy(*keys, "path", F.xxhash64("line").alias("code")).agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
-    return counted.groupBy(*keys, "path").agg(
+    holders = counted.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("files"))
+
+    def least_hash(seed: int) -> Column:
+        own = F.xxhash64("code", F.lit(seed))
+        return F.coalesce(F.min(F.when(F.col("files") <= WIDE, own)), F.min(own))
+
+    return counted.join(holders, [*keys, "code"]).groupBy(*keys, "path").agg(
         F.map_from_entries(F.collect_list(F.struct("code", "bytes"))).alias("sizes"),
-        F.array(*[F.min(F.xxhash64("code", F.lit(seed))) for seed in range(SEEDS)]).alias("sketch"),
+        F.array(*[least_hash(seed) for seed in range(SEEDS)]).alias("sketch"),
     )
 
 
 def _best_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """One-to-one pairs: in each round those that are each other's best; until none is left."""
+    """One-to-one pairs: in each round those that are each other's best; until none is left.
+
+    Equal likeness is settled by a hash of the pair, so that ties do not cost a round each.
+    """
+    edges = edges.withColumn("lot", F.xxhash64("base_path", "path"))
     pairs = None
     while not edges.isEmpty():
-        mine = edges.groupBy(*keys, "path").agg(F.max(F.struct("likeness", "base_path")).alias("best"))
-        theirs = edges.groupBy(*keys, "base_path").agg(F.max(F.struct("likeness", "path")).alias("best"))
+        mine = edges.groupBy(*keys, "path").agg(F.max(F.struct("likeness", "lot", "base_path")).alias("best"))
+        theirs = edges.groupBy(*keys, "base_path").agg(F.max(F.struct("likeness", "lot", "path")).alias("best"))
         won = mine.select(*keys, "path", F.col("best.base_path").alias("base_path")).join(
             theirs.select(*keys, "base_path", F.col("best.path").alias("path")), [*keys, "path", "base_path"]
         )

@@ -140,7 +140,7 @@ def diff(
     if renames:
         changes = written(with_renames(changes, keys), "changes")
     if renames and similar:
-        changes = written(with_similar_renames(changes, before, after, keys), "changes")
+        changes = written(with_similar_renames(changes, before, after, keys, max_bytes=max_bytes), "changes")
     texts = changed_texts(changes, before, after, keys, exclude, max_bytes, tokens)
     levels = locale_levels(
         after.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys

@@ -148,3 +148,18 @@ def test_verdicts_of_many_lines_take_linear_time(spark):
 
     took(1000)
     assert took(320_000) < 20 * took(40_000) + 1
+
+
+def test_files_with_a_shared_opening_find_their_own_partner(spark):
+    plain = "100644"
+    opening = [f"shared {k}\n" for k in range(30)]
+    old, new = [], []
+    for n in range(30):
+        own = [f"own {n} {k}\n" for k in range(20)]
+        fresh = [f"fresh {n} {k}\n" for k in range(15)]
+        old.append((f"a/{n:02d}.txt", plain, "".join(opening + own).encode()))
+        new.append((f"b/{(n * 7) % 30:02d}-{n}.txt", plain, "".join(opening + own[:5] + fresh).encode()))
+    before, after = snapshot(spark, old), snapshot(spark, new)
+    rows = C.with_similar_renames(C.changed_paths(before, after), before, after).collect()
+    pairs = {int(r.base_path[2:4]): int(r.path.split("-")[1][:-4]) for r in rows if r.status == "renamed"}
+    assert pairs == {n: n for n in range(30)}
