@@ -75,7 +75,7 @@ def listed(spark, sf):
 
 def spine(spark, sf):
     rows = written(listed(spark, sf), "listed")
-    return P.spine(rows, written(P.commit_files(rows, A.commit_snapshots(spark, sf), similar=False), "commits"))
+    return P.spine(rows, written(P.commit_files(rows, A.commit_snapshots(spark, sf)), "commits"))
 
 
 def plain_lines(text: str) -> str:
@@ -156,11 +156,13 @@ FROM runs JOIN bounds USING (repo, run)"""
 
 def k6(spark, sf):
     rows = broken(spark, sf)
-    return C.spans_of(C.comparisons_of(spans(spark, sf), rows).select("repo", "base", "target"), rows)
+    whole = rows.groupBy("repo").agg(F.min_by("parent", "ord").alias("base"), F.max_by("sha", "ord").alias("target"))
+    return C.spans_of(C.comparisons_of(spans(spark, sf), rows).select("repo", "base", "target"), rows, whole)
 
 
 K6_SQL = f"""WITH {LISTED}, asked AS (SELECT s.repo, a.parent AS base, b.sha AS target FROM spans s JOIN runs a ON a.repo = s.repo AND a.ord = s.start JOIN runs b ON b.repo = s.repo AND b.ord = s."end")
-SELECT q.repo, q.base, q.target, a.ord AS start, b.ord AS "end" FROM asked q JOIN runs a ON a.repo = q.repo AND a.parent = q.base JOIN runs b ON b.repo = q.repo AND b.sha = q.target WHERE a.ord <= b.ord AND a.run = b.run"""
+SELECT q.repo, q.base, q.target, a.ord AS start, b.ord AS "end" FROM asked q JOIN runs a ON a.repo = q.repo AND a.parent = q.base JOIN runs b ON b.repo = q.repo AND b.sha = q.target WHERE a.ord <= b.ord AND a.run = b.run
+  AND NOT EXISTS (SELECT 1 FROM runs f JOIN runs l ON l.repo = f.repo WHERE f.repo = q.repo AND f.ord = 0 AND l.ord = l.last AND f.parent = q.base AND l.sha = q.target)"""
 
 
 def h6(spark, sf):
@@ -207,9 +209,26 @@ UNION ALL SELECT c.conv_id::VARCHAR, c.conv_id || ':' || c.turn, 'before', files
 
 
 def k8(spark, sf):
-    """Comparisons of two names; those of one commit are refused and have no row."""
-    rows = C.comparisons_of(spans(spark, sf), broken(spark, sf))
-    return rows.where(F.col("base") != F.col("target")).groupBy("repo").agg(F.count("*").alias("comparisons"))
+    """Every turn against the name of its conversation's newest one; the newest itself is refused."""
+    turns = A.commits(spark, sf).select("repo", F.lit("tip").alias("base"), F.col("sha").alias("target"))
+    return C.revision_pairs(turns, tips(spark, sf).withColumn("name", F.lit("tip")))
+
+
+K8_SQL = """SELECT conv_id::VARCHAR AS repo, 'tip' AS base, conv_id || ':' || turn AS target, conv_id || ':' || last AS base_sha, conv_id || ':' || turn AS target_sha,
+  CASE WHEN turn = last THEN 'nothing to compare: tip and ' || conv_id || ':' || turn || ' are the same commit' END AS refusal
+FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)"""
+
+
+def k2_pairs(spark, sf):
+    """Tips of two lines against each other; where one contains the other the comparison is refused."""
+    one, other = (tips(spark, sf, r).withColumnRenamed("sha", side) for r, side in ((1, "base"), (2, "target")))
+    return C.merge_base_pairs(branched(spark, sf), one.join(other, "repo"))
+
+
+K2_PAIRS_SQL = O.with_ctes(f"{BRANCHED},{TIPS}", """SELECT a.repo, a.sha AS base, b.sha AS target, m.sha AS base_sha,
+  CASE WHEN m.sha IS NULL THEN 'no merge base between ' || a.sha || ' and ' || b.sha
+    WHEN m.sha = b.sha THEN 'nothing to compare: ' || b.sha || ' is an ancestor of ' || a.sha || ', so ' || a.sha || '...' || b.sha || ' is empty' END AS refusal
+FROM tip a JOIN tip b ON b.repo = a.repo AND a.r = 1 AND b.r = 2 LEFT JOIN (SELECT repo, min(sha) AS sha FROM (""" + K2_SQL[K2_SQL.rindex("SELECT repo, sha FROM common c"):] + """) GROUP BY repo) m ON m.repo = a.repo""")
 
 
 ENTRIES = [
@@ -225,10 +244,11 @@ ENTRIES = [
     ("i5_commit_range", i5, I5_SQL),
     ("k1_ancestors", k1, K1_SQL),
     ("k2_merge_base", k2, K2_SQL),
+    ("k2_merge_base_pairs", k2_pairs, K2_PAIRS_SQL),
     ("k3_without_merges", lambda spark, sf: C.without_merges(branched(spark, sf)).select("repo", "sha"), O.with_ctes(BRANCHED, "SELECT repo, sha FROM branched WHERE len(parents) < 2")),
     ("k4_spine", k4, K4_SQL),
     ("k5_span_comparisons", lambda spark, sf: C.comparisons_of(spans(spark, sf), broken(spark, sf)),
      f"""WITH {LISTED} SELECT s.repo, s.start, s."end", 'revisionPair' AS kind, a.parent AS base, b.sha AS target FROM spans s JOIN runs a ON a.repo = s.repo AND a.ord = s.start JOIN runs b ON b.repo = s.repo AND b.ord = s."end" """),
     ("k6_comparison_spans", k6, K6_SQL),
-    ("k8_no_empty_comparison", k8, f"WITH {LISTED} SELECT repo, count(*) AS comparisons FROM spans GROUP BY repo"),
+    ("k8_no_empty_comparison", k8, K8_SQL),
 ]

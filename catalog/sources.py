@@ -148,11 +148,11 @@ def a16(spark, sf):
     return S.previews(rows).select("repo", "path", "content", "error")
 
 
-def m1(spark, sf):
-    """Conversation turns as arriving versions of one file per role: the newest stays."""
+def rescanned(spark, sf):
+    """Conversation turns as arriving versions of one file per role; every fifth turn removes the file."""
     versions = spark.readStream.schema(A.table(spark, sf, "conversations").schema).option(
         "pathGlobFilter", "conversations.parquet").parquet(sf)
-    named = versions.select(F.col("conv_id").cast("string").alias("repo"), F.concat("role", F.lit(".md")).alias("path"), F.col("turn").alias("version"), "text")
+    named = versions.select(F.col("conv_id").cast("string").alias("repo"), F.concat("role", F.lit(".md")).alias("path"), F.col("turn").alias("version"), "text", (F.col("turn") % 5 == 4).alias("removed"))
 
     def measure(frame):
         return frame.withColumn("tokens", T.pre_tokens(F.col("text"))).withColumn("lines", F.size(L.split_lines(F.col("text"))).cast("bigint")).drop("text")
@@ -160,11 +160,27 @@ def m1(spark, sf):
     index = place(spark, "rescan")
     query = M.rescan(named, measure, index, place(spark, "progress"))
     query.awaitTermination()
-    return spark.read.parquet(index).select("repo", "path", "version", "tokens", "lines")
+    return index
+
+
+def m1(spark, sf):
+    """The newest version of every file; removed ones are gone."""
+    return M.current(spark, rescanned(spark, sf)).select("repo", "path", "version", "tokens", "lines")
+
+
+def m1_listing(spark, sf):
+    """A complete listing of every third conversation names user files only; a later batch removes the others."""
+    index = rescanned(spark, sf)
+    turns = A.table(spark, sf, "conversations").where(F.col("conv_id") % 3 == 0)
+    listed = turns.select(F.col("conv_id").cast("string").alias("repo"), F.concat("role", F.lit(".md")).alias("path"))
+    gone = M.removed_paths(M.current(spark, index), listed.where("path = 'user.md'"), listed, 1_000_000)
+    M.merge_batch(index)(gone, 1)
+    return M.current(spark, index).select("repo", "path", "version", "tokens", "lines")
 
 
 M1_SQL = f"""SELECT conv_id::VARCHAR AS repo, role || '.md' AS path, turn AS version, {O.tokens('text')} AS tokens, len({O.split_lines('text')})::BIGINT AS lines
-FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = c.role)"""
+FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = c.role)
+  AND turn % 5 <> 4"""
 
 ENTRIES = [
     ("a1_read_tree", a1, None),
@@ -186,4 +202,5 @@ ENTRIES = [
         listing(spark, sf).where(~D.in_folder_named(F.col("path"), ["docs"])), listing(spark, sf), "LICENSE"),
      A5_SQL + " AND NOT list_contains(string_split(path, '/')[1:-2], 'docs')"),
     ("m1_rescan", m1, M1_SQL),
+    ("m1_complete_listing", m1_listing, M1_SQL + " AND (conv_id % 3 <> 0 OR role = 'user')"),
 ]

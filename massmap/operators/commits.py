@@ -68,9 +68,34 @@ def merge_base(commits: DataFrame, one: DataFrame, other: DataFrame) -> DataFram
     return common.join(behind, ["repo", "sha"], "left_anti")
 
 
-def refuse_empty(base: str, target: str) -> None:
-    if base == target:
-        raise ValueError(f"nothing to compare: {base} and {target} are the same commit")
+def revision_pairs(requests: DataFrame, names: DataFrame) -> DataFrame:
+    """Add ``base_sha``, ``target_sha`` and ``refusal`` to requests ``(repo, base, target)``.
+
+    ``names`` is ``(repo, name, sha)``, one row a name; what is not among them names a commit
+    itself. Two names of one commit describe an empty change, which is refused.
+    """
+    found = requests
+    for side in ("base", "target"):
+        at = names.select("repo", F.col("name").alias(side), F.col("sha").alias(f"__{side}"))
+        found = found.join(at, ["repo", side], "left").withColumn(f"{side}_sha", F.coalesce(f"__{side}", side)).drop(f"__{side}")
+    same = F.format_string("nothing to compare: %s and %s are the same commit", "base", "target")
+    return found.withColumn("refusal", F.when(F.col("base_sha") == F.col("target_sha"), same))
+
+
+def merge_base_pairs(commits: DataFrame, requests: DataFrame) -> DataFrame:
+    """Add ``base_sha``, the merge base, and ``refusal`` to one request ``(repo, base, target)`` per repository.
+
+    Of several nearest common ancestors the smallest name is taken. Without one there is
+    nothing to compare with; a target that is its own merge base has no change.
+    """
+    one, other = (requests.select("repo", F.col(side).alias("sha")) for side in ("base", "target"))
+    nearest = merge_base(commits, one, other).groupBy("repo").agg(F.min("sha").alias("base_sha"))
+    unrelated = F.format_string("no merge base between %s and %s", "base", "target")
+    empty = F.format_string(
+        "nothing to compare: %s is an ancestor of %s, so %s...%s is empty", "target", "base", "base", "target"
+    )
+    refusal = F.when(F.col("base_sha").isNull(), unrelated).when(F.col("base_sha") == F.col("target"), empty)
+    return requests.join(nearest, "repo", "left").withColumn("refusal", refusal)
 
 
 def without_merges(commits: DataFrame) -> DataFrame:
@@ -162,16 +187,30 @@ def comparisons_of(spans: DataFrame, spine: DataFrame) -> DataFrame:
     return joined.select("repo", "start", "end", kind.alias("kind"), "base", "target")
 
 
-def spans_of(requests: DataFrame, spine: DataFrame) -> DataFrame:
-    """Spans of ``(repo, base, target)`` comparisons; no row if the run between is broken."""
+def spans_of(requests: DataFrame, spine: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Spans of ``(repo, base, target)`` comparisons; no row if the run between is broken.
+
+    ``ranges`` are the comparisons the spine was listed for: the whole range is no span of
+    it. A null target is the working tree.
+    """
     runs = chained(spine)
-    ends = runs.select("repo", F.col("sha").alias("target"), F.col("ord").alias("end"), F.col("run").alias("end_run"))
+    ends = runs.select("repo", F.col("sha").alias("__target"), F.col("ord").alias("end"), F.col("run").alias("end_run"))
     starts = runs.groupBy("repo", F.col("parent").alias("base")).agg(
         F.min("ord").alias("start"), F.min_by("run", "ord").alias("start_run")
     )
+    if ranges is not None:
+        whole = ranges.select("repo", "base", F.col("target").alias("__target"))
+        requests = requests.join(
+            whole.withColumnsRenamed({"repo": "__repo", "base": "__base"}),
+            (F.col("repo") == F.col("__repo")) & (F.col("base") == F.col("__base")) & F.col("target").eqNullSafe(F.col("__target")),
+            "left_anti",
+        )
+    found = requests.join(
+        ends.withColumnRenamed("repo", "__repo"),
+        (F.col("repo") == F.col("__repo")) & F.col("target").eqNullSafe(F.col("__target")),
+    ).drop("__repo", "__target")
     return (
-        requests.join(ends, ["repo", "target"])
-        .join(starts, ["repo", "base"])
+        found.join(starts, ["repo", "base"])
         .where("start <= `end` AND start_run = end_run")
         .select("repo", "base", "target", "start", "end")
     )

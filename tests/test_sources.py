@@ -61,12 +61,56 @@ def test_rescan_keeps_the_newest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         M.rescan(stream, lambda f: f.withColumn("tokens", T.pre_tokens(F.col("text"))).drop("text"), index, progress).awaitTermination()
-        return {(r.path, r.version, r.tokens) for r in spark.read.parquet(index).collect()}
+        return {(r.path, r.version, r.tokens) for r in M.current(spark, index).collect()}
 
     assert arrive([("r", "a", 1, "one"), ("r", "b", 1, "one two")]) == {("a", 1, 1), ("b", 1, 3)}
     assert arrive([("r", "a", 3, "one two"), ("r", "a", 2, "x"), ("r", "c", 1, "")]) == {("a", 3, 3), ("b", 1, 3), ("c", 1, 0)}
     M.merge_batch(index)(spark.createDataFrame([("r", "b", 0, 9)], "repo string, path string, version bigint, tokens bigint"), 7)
-    assert {(r.path, r.version) for r in spark.read.parquet(index).collect()} == {("a", 3), ("b", 1), ("c", 1)}
+    assert {(r.path, r.version) for r in M.current(spark, index).collect()} == {("a", 3), ("b", 1), ("c", 1)}
+
+
+def test_rescan_takes_removed_paths_out(spark, tmp_path):
+    index = str(tmp_path / "index")
+    schema = "repo string, path string, version bigint, removed boolean"
+
+    def merge(rows, number):
+        M.merge_batch(index, 4)(spark.createDataFrame(rows, schema), number)
+        return {(r.repo, r.path, r.version) for r in M.current(spark, index).collect()}
+
+    first = [("r", "a", 1, None), ("r", "b", 1, False), ("s", "a", 1, False), ("t", "x", 1, False)]
+    assert merge(first, 0) == {("r", "a", 1), ("r", "b", 1), ("s", "a", 1), ("t", "x", 1)}
+    before = M.current(spark, index)
+    removal = [("r", "a", 5, True), ("s", "a", 1, True)]
+    assert merge(removal, 1) == merge(removal, 1) == {("r", "b", 1), ("t", "x", 1)}
+    assert before.count() == 4  # a reader of the older manifest keeps its slices
+    assert merge([("r", "a", 4, False)], 2) == {("r", "b", 1), ("t", "x", 1)}  # an older version comes late
+    assert merge([("r", "a", 6, False)], 3) == {("r", "a", 6), ("r", "b", 1), ("t", "x", 1)}
+    listing = spark.createDataFrame([("r", "a")], "repo string, path string")
+    repos = spark.createDataFrame([("r",), ("t",)], "repo string")
+    M.merge_batch(index)(M.removed_paths(M.current(spark, index), listing, repos, 9), 4)
+    assert {(r.repo, r.path) for r in M.current(spark, index).collect()} == {("r", "a")}
+    assert merge([], 5) == {("r", "a", 6)}
+
+
+def test_empty_comparisons_are_refused_and_the_whole_range_is_no_span(spark):
+    pairs = spark.createDataFrame([("r", "main", "c"), ("r", "a", "main"), ("r", "c", "c")], "repo string, base string, target string")
+    names = spark.createDataFrame([("r", "main", "c")], "repo string, name string, sha string")
+    refused = {(r.base, r.target): r.refusal for r in K.revision_pairs(pairs, names).collect()}
+    assert refused[("main", "c")] == "nothing to compare: main and c are the same commit"
+    assert refused[("a", "main")] is None and refused[("c", "c")] is not None
+    commits = spark.createDataFrame(
+        [(repo, sha, parents) for repo in "pqo" for sha, parents in (("a", []), ("b", ["a"]), ("c", ["a"]), ("z", []))],
+        "repo string, sha string, parents array<string>")
+    asked = spark.createDataFrame([("p", "b", "c"), ("q", "b", "a"), ("o", "b", "z")], "repo string, base string, target string")
+    got = {r.repo: (r.base_sha, r.refusal) for r in K.merge_base_pairs(commits, asked).collect()}
+    assert got == {
+        "p": ("a", None), "q": ("a", "nothing to compare: a is an ancestor of b, so b...a is empty"),
+        "o": (None, "no merge base between b and z"),
+    }
+    spine = spark.createDataFrame([("r", 0, "b", "a"), ("r", 1, "c", "b"), ("r", 2, None, "c")], "repo string, ord int, sha string, parent string")
+    spans = spark.createDataFrame([("r", "a", "c"), ("r", "b", "c"), ("r", "b", None)], "repo string, base string, target string")
+    whole = spark.createDataFrame([("r", "a", "c")], "repo string, base string, target string")
+    assert {(r.base, r.target, r.start, r.end) for r in K.spans_of(spans, spine, whole).collect()} == {("b", "c", 1, 1), ("b", None, 1, 2)}
 
 
 def test_ignore_rules_do_not_mind_letter_case(spark):
