@@ -11,11 +11,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massmap.llm import lines, mixing, packing, quality, simhash
+from massmap.llm import jaccard, lines, mixing, packing, quality
+from massmap.llm.common import own_id
 from massmap.session import written
 
-#: Near duplicates are judged on five-word shingles; fingerprints up to so many bits apart are linked.
-SHINGLE, RADIUS = 5, 6
+#: Near duplicates share so much of their five-word shingles (Jaccard).
+SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints up to so many bits apart are candidates, besides the documents that share a band of min-hashes.
+RADIUS = 6
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id stays.
 
     A text that line dedup has left without a word is a copy as a whole; such texts
-    share a fingerprint, so one of them stays.
+    have the same empty set of shingles, so one of them stays.
     """
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    groups = jaccard.near_duplicates(docs, shingle=SHINGLE, least=SIMILARITY, radius=RADIUS)
+    kept = groups.where("doc = component").select(own_id().alias("__kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
