@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massmap.functions.links import body, first_parent, subject
-from massmap.operators.ordered import ranked, top
+from massmap.operators.ordered import ranked, running_totals, top
 from massmap.session import written
 
 
@@ -142,12 +142,16 @@ def listed_refs(refs: DataFrame, limit: int | None = None) -> DataFrame:
     return named.where(F.col("kind").isNotNull() & ~symbolic).select("repo", "place", "name", "kind", "sha")
 
 
-# --- runs of a listed range: windows per repository, meant for ranges with a limit ----
+# --- runs of a listed range: a repository of any length is spread over many tasks ----
 def chained(spine: DataFrame) -> DataFrame:
     """Add ``run``: entries share it while each one's parent is the entry before."""
-    order = Window.partitionBy("repo").orderBy("ord")
-    follows = F.coalesce(F.lag("sha").over(order) == F.col("parent"), F.lit(False))
-    return spine.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(order).cast("int"))
+    order = [F.col("ord")]
+    placed = ranked(spine, ["repo"], order, "__place")
+    before = placed.select("repo", (F.col("__place") + 1).alias("__place"), F.col("sha").alias("__before"))
+    follows = F.coalesce(F.col("__before") == F.col("parent"), F.lit(False))
+    linked = placed.join(before, ["repo", "__place"], "left").select(*spine.columns, follows.alias("__follows"))
+    runs = running_totals(linked, ["repo"], order, {"run": F.when(F.col("__follows"), 0).otherwise(1)})
+    return runs.select(*spine.columns, F.col("run").cast("int").alias("run"))
 
 
 def slid(spans: DataFrame, spine: DataFrame, delta: int) -> DataFrame:
