@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massmap.functions.fixed_values import CONTEXT_LINES, MAX_DIFF_REGION_LINES
+from massmap.functions.fixed_values import CONTEXT_LINES
 from massmap.functions.text import decoded
 from massmap.operators.ordered import ranked
 from massmap.session import written
@@ -221,13 +221,88 @@ def minimal_alignment():
     """Arrow UDF: the lines a minimal script removes and adds, for one region per row.
 
     Longest common subsequence by bit rows: one big integer per line of one
-    side holds the whole frontier of the other, so the largest allowed region
-    takes milliseconds. Everything lives inside so that executors need no
-    package installed to run it.
+    side holds the whole frontier of the other. A large region drops the lines
+    that only one side has and is halved where the frontiers of both halves
+    meet (Hirschberg), until its parts are small; so it takes linear space and
+    stays minimal. Everything lives inside so that executors need no package
+    installed to run it.
     """
+    import numpy as np
     import pandas as pd
 
+    # Lines of both sides up to which all rows are kept: at most 3 MB of bits.
+    direct = 10_000
+
     def one(before, after):
+        if len(before) + len(after) <= direct:
+            return small(before, after)
+        common = set(before) & set(after)
+        left = [at for at, line in enumerate(before) if line in common]
+        right = [at for at, line in enumerate(after) if line in common]
+        names = {line: name for name, line in enumerate(common)}
+        old, new = [names[before[at]] for at in left], [names[after[at]] for at in right]
+        kept_old, kept_new = set(), set()
+        parts = [(0, len(old), 0, len(new))]
+        while parts:
+            a, b, c, d = parts.pop()
+            while a < b and c < d and old[a] == new[c]:
+                kept_old.add(left[a])
+                kept_new.add(right[c])
+                a, c = a + 1, c + 1
+            while a < b and c < d and old[b - 1] == new[d - 1]:
+                b, d = b - 1, d - 1
+                kept_old.add(left[b])
+                kept_new.add(right[d])
+            if a == b or c == d:
+                continue
+            if b - a + d - c <= direct:
+                script = small(old[a:b], new[c:d])
+                out, came = set(script["removed"]), set(script["added"])
+                kept_old.update(left[a + at] for at in range(b - a) if at not in out)
+                kept_new.update(right[c + at] for at in range(d - c) if at not in came)
+                continue
+            if b - a == 1:
+                at = next((at for at in range(c, d) if new[at] == old[a]), None)
+                if at is not None:
+                    kept_old.add(left[a])
+                    kept_new.add(right[at])
+                continue
+            middle = (a + b) // 2
+            ahead = frontier(old[a:middle], new[c:d])
+            behind = frontier(old[middle:b][::-1], new[c:d][::-1])[::-1]
+            cut = c + int(np.argmax(ahead + behind))
+            parts += [(a, middle, c, cut), (middle, b, cut, d)]
+        return {
+            "removed": [at for at in range(len(before)) if at not in kept_old],
+            "added": [at for at in range(len(after)) if at not in kept_new],
+        }
+
+    def frontier(before, after):
+        """How many lines all of ``before`` shares with each beginning of ``after``, in linear space."""
+        n = len(after)
+        places, masks = {}, {}
+        for at, line in enumerate(after):
+            places.setdefault(line, []).append(at)
+
+        def mask(line):
+            if line in masks:
+                return masks[line]
+            bits = np.zeros(n, np.uint8)
+            bits[places.get(line, [])] = 1
+            found = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(places.get(line, [])) * 512 > n:  # of such lines there are fewer than 512
+                masks[line] = found
+            return found
+
+        full = (1 << n) - 1
+        row = full
+        for line in before:
+            hit = row & mask(line)
+            row = ((row + hit) | (row - hit)) & full
+        bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+        return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+    def small(before, after):
         place = {}
         for at, line in enumerate(after):
             place[line] = place.get(line, 0) | (1 << at)
@@ -271,12 +346,12 @@ def with_common_ends(frame: DataFrame, before: str = "before_line_texts", after:
 
 def with_line_diff(
     frame: DataFrame, before: str = "before_line_texts", after: str = "after_line_texts",
-    cap: int = MAX_DIFF_REGION_LINES,
+    cap: int | None = None,
 ) -> DataFrame:
     """Add ``removed`` and ``added`` (line indices) and ``capped`` to rows holding both sides.
 
     Common head and tail are trimmed in the JVM. A region with one empty side,
-    or past the cap, is wholly replaced; only what is left goes to Python.
+    or past a ``cap`` that is given, is wholly replaced; only what is left goes to Python.
     """
     old, new = F.col(before), F.col(after)
     frame = with_common_ends(frame, before, after).withColumnsRenamed({"head": "__head", "tail": "__tail"})
@@ -286,7 +361,7 @@ def with_line_diff(
             "__in": F.size(new) - F.col("__head") - F.col("__tail"),
         }
     )
-    frame = frame.withColumn("capped", F.col("__out") + F.col("__in") > cap)
+    frame = frame.withColumn("capped", F.lit(False) if cap is None else F.col("__out") + F.col("__in") > cap)
     open_region = ~F.col("capped") & (F.col("__out") > 0) & (F.col("__in") > 0)
     none = F.array().cast("array<string>")
     frame = frame.withColumns(
