@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from massmap.llm import (
-    chat, lines, mixing, neighbours, packing, personal, quality, simhash, sql, substrings, suffixes,
+    alignment, chat, lines, merkle, mixing, neighbours, packing, personal, quality, secret_scan, simhash, sql, substrings,
+    suffixes,
 )
 
 
@@ -56,6 +57,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.dedup_suffixes(_table(spark, sf_dir, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(_table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.digest(merkle.manifest(docs, altered=merkle.tampered(docs)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -64,7 +81,8 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_host_quality, op2_substring_dedup, op3_nearest_neighbours, op4_chat_formatting, op5_best_fit_packing,
-        op6_simhash_dedup, op7_personal_data, op8_line_dedup, op9_source_mixing, op10_suffix_dedup, pipeline,
+        op6_simhash_dedup, op7_personal_data, op8_line_dedup, op9_source_mixing, op10_suffix_dedup,
+        op11_token_alignment, op12_secret_scan, op13_merkle_manifest, pipeline,
     )
 }
 ORACLES = sql.ORACLES

@@ -138,10 +138,66 @@ SELECT t.doc_id, (len(bytes) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT
   sha256(unhex(coalesce(head, '') || substr(bytes, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM texts t LEFT JOIN joined j USING (doc_id)"""
 
+OP13 = """
+WITH RECURSIVE told AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS fields,
+    list_reduce(
+      flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda crc, byte: xor(xor(crc, greatest(byte, 0)) >> 1, (xor(crc, greatest(byte, 0)) & 1) * 3988292384),
+      4294967295::BIGINT) & 1 = 1 AS tampered
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN tampered
+      THEN sha256(fields || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+      ELSE leaf END AS claimed
+  FROM told),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS place FROM leaves),
+nodes(source, level, place, h, several) AS (
+  SELECT source, 0, place, leaf, count(*) OVER (PARTITION BY source) > 1 FROM placed
+  UNION ALL
+  SELECT source, level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), count(*) OVER (PARTITION BY source) > 1
+  FROM nodes WHERE several GROUP BY source, level, place // 3),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS top_place
+  FROM nodes WHERE NOT several),
+tops(level, place, h, several) AS (
+  SELECT 0, top_place, subroot, count(*) OVER () > 1 FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), count(*) OVER () > 1
+  FROM tops WHERE several GROUP BY level, place // 3),
+runs AS (
+  SELECT false AS top, source, level, place // 3 AS run, list(h ORDER BY place) AS kids
+  FROM nodes WHERE several GROUP BY ALL
+  UNION ALL
+  SELECT true, NULL, level, place // 3, list(h ORDER BY place) FROM tops WHERE several GROUP BY ALL),
+levels AS (SELECT k AS level, (3::HUGEINT ** k)::BIGINT AS width FROM range(0, 39) t(k)),
+steps AS (
+  SELECT p.doc_id, p.source, p.place, r.top, r.level, r.kids,
+    (CASE WHEN r.top THEN s.top_place ELSE p.place END // l.width) % 3 AS own
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source, levels l JOIN runs r USING (level)
+  WHERE CASE WHEN r.top THEN r.run = s.top_place // l.width // 3
+    ELSE r.source IS NOT DISTINCT FROM p.source AND r.run = p.place // l.width // 3 END),
+proofs AS (
+  SELECT source, place,
+    list(array_to_string(kids[:own], '') || '@' || array_to_string(kids[own + 2:], '') ORDER BY top, level) AS proof
+  FROM steps GROUP BY ALL),
+folded AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM tops WHERE NOT several) AS root, coalesce(f.proof, []) AS proof,
+    list_reduce(coalesce(f.proof, []), lambda below, step: sha256(replace(step, '@', below)), p.claimed) AS folded_root
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN proofs f ON p.source IS NOT DISTINCT FROM f.source AND p.place = f.place)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '@', '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM folded"""
+
 ORACLES = {
     "op1_host_quality": OP1,
     "op2_substring_dedup": OP2,
     "op4_chat_formatting": OP4,
     "op8_line_dedup": OP8,
     "op10_suffix_dedup": OP10,
+    "op13_merkle_manifest": OP13,
 }
