@@ -45,6 +45,7 @@ class ByteLevel(Encoder):
             bytes(marks[c] for c in token) if set(token) <= set(marks) else token.encode()
             for token in (self.tokenizer.id_to_token(k) or "" for k in range(size))
         ]
+        self.sizes = np.array([len(token) for token in self.bytes], np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         raw = array("I", self.fast(text)).tobytes() if self.fast and not _PLAIN.search(text) else self.whole(text)
@@ -65,6 +66,7 @@ class Pieces:
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.bytes.append(piece.replace("▁", " ").encode())
+        self.sizes = np.array([len(piece) for piece in self.bytes], np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, num_threads=1), np.int64)
@@ -80,9 +82,15 @@ def loaded(kind: type, path: str):
 
 
 # --- one document ---------------------------------------------------------------------------
-def equal_run(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends agree from ``a[i]`` and ``b[j]`` on: probes of doubling length, then halving in the last one."""
-    most, done, step = min(len(a) - i, len(b) - j), 0, 1
+_WIDE = 8  # bytes of an end
+
+
+def equal_run(a: bytes, b: bytes, i: int, j: int, most: int) -> int:
+    """How many of ``most`` ends agree from ``i`` and ``j`` on (all counted in bytes).
+
+    Probes of doubling length, then halving in the last one.
+    """
+    done, step = 0, 4 * _WIDE
     while done < most:
         step = min(step, most - done)
         if a[i + done : i + done + step] != b[j + done : j + done + step]:
@@ -91,84 +99,84 @@ def equal_run(a: list[int], b: list[int], i: int, j: int) -> int:
         step *= 2
     else:
         return done
-    low, high = 0, step  # `low` ends agree behind `done`, `high` do not
-    while high - low > 1:
-        half = (low + high) // 2
-        if a[i + done + low : i + done + half] == b[j + done + low : j + done + half]:
-            low = half
+    same, differ = 0, step // _WIDE  # so many ends agree behind `done`, so many do not
+    while differ - same > 1:
+        half = (same + differ) // 2
+        if a[i + done + same * _WIDE : i + done + half * _WIDE] == b[j + done + same * _WIDE : j + done + half * _WIDE]:
+            same = half
         else:
-            high = half
-    return done + low
+            differ = half
+    return done + same * _WIDE
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Index ranges (a from, a to, b from, b to) between common ends. A diagonal run is one range of equal lengths.
+def inner_ends(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Per side the indexes of tokens that end inside a group; every other token ends one.
 
-    Both arrays ascend and end with the same number. If the first ends of a range are
-    equal, it is a run of one-to-one groups, else it is one irregular group.
+    Both arrays ascend and end with the same number. One-to-one stretches are skipped
+    on the diagonal; only irregular groups are walked token by token.
     """
-    out, i, j = [], 0, 0
-    while i < len(a):
-        run = equal_run(a, b, i, j)
-        if run:
-            out.append((i, i + run, j, j + run))
+    raw_a, raw_b = a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()
+    a, b = a.tolist(), b.tolist()
+    inner_a, inner_b, i, j, size_a, size_b = [], [], 0, 0, len(a), len(b)
+    while i < size_a:
+        if a[i] == b[j]:
+            run = equal_run(raw_a, raw_b, _WIDE * i, _WIDE * j, _WIDE * min(size_a - i, size_b - j)) // _WIDE
             i, j = i + run, j + run
-            if i == len(a):
-                break
-        k, m = i, j
-        while a[k] != b[m]:
-            if a[k] < b[m]:
-                k += 1
+            continue
+        end_a, end_b = a[i], b[j]
+        while end_a != end_b:
+            if end_a < end_b:
+                inner_a.append(i)
+                i += 1
+                end_a = a[i]
             else:
-                m += 1
-        out.append((i, k + 1, j, m + 1))
-        i, j = k + 1, m + 1
-    return out
-
-
-def links(a: list[int], b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Index pairs of one irregular group whose byte ranges overlap."""
-    i, last_a, j, last_b = group
-    out = []
-    while i < last_a and j < last_b:
-        out.append((i, j))
-        end = min(a[i], b[j])
-        i, j = i + (a[i] == end), j + (b[j] == end)
-    return out
+                inner_b.append(j)
+                j += 1
+                end_b = b[j]
+        i, j = i + 1, j + 1
+    return inner_a, inner_b
 
 
 class Aligned:
     """Two token sequences of the same bytes."""
 
     def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
-        self.ids_a, self.ids_b = ids_a, ids_b
-        a, b = ends_a.tolist(), ends_b.tolist()
-        self.ranges = groups(a, b)
-        self.one_to_one = [a[i] == b[j] for i, _, j, _ in self.ranges]
-        self.runs = [r for r, one in zip(self.ranges, self.one_to_one) if one]
-        odd = [pair for r, one in zip(self.ranges, self.one_to_one) if not one for pair in links(a, b, r)]
-        self.odd = np.array(odd, np.int64).reshape(-1, 2)
-
-    @property
-    def n_groups(self) -> int:
-        return sum(r[1] - r[0] for r in self.runs) + len(self.ranges) - len(self.runs)
+        self.ids_a, self.ids_b, self.ends_a, self.ends_b = ids_a, ids_b, ends_a, ends_b
+        inner_a, inner_b = inner_ends(ends_a, ends_b)
+        self.last_a, self.last_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), bool)
+        self.last_a[inner_a] = False
+        self.last_b[inner_b] = False
+        self.n_groups = len(ids_a) - len(inner_a)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs of tokens whose byte ranges overlap: one for each byte where either side ends a token."""
+        ends = np.concatenate([self.ends_a, self.ends_b[~self.last_b]])
+        ends.sort()
+        return self.ends_a.searchsorted(ends), self.ends_b.searchsorted(ends)
 
     def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked ids as ``a * width + b``, ascending, and how many links hold each."""
-        keys = [self.ids_a[i:k] * width + self.ids_b[j:m] for i, k, j, m in self.runs]
-        keys.append(self.ids_a[self.odd[:, 0]] * width + self.ids_b[self.odd[:, 1]])
-        return np.unique(np.concatenate(keys), return_counts=True)
-
-    def told(self) -> str:
-        """Groups as text: ids of A and B in order."""
-        a, b = list(map(str, self.ids_a.tolist())), list(map(str, self.ids_b.tolist()))
-        parts = []
-        for (i, k, j, m), one in zip(self.ranges, self.one_to_one):
-            if one:
-                parts.extend(map("|".join, zip(a[i:k], b[j:m])))
-            else:
-                parts.append(",".join(a[i:k]) + "|" + ",".join(b[j:m]))
-        return ";".join(parts)
+        at_a, at_b = self.links()
+        keys = self.ids_a[at_a] * width + self.ids_b[at_b]
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        firsts = np.flatnonzero(new)
+        return keys[firsts], np.diff(firsts, append=len(keys))
+
+    def told(self, words_a: np.ndarray, words_b: np.ndarray) -> str:
+        """Groups as text. ``words_*``: per id its number with a comma, then per id with the mark behind a group's last."""
+        groups_a, groups_b = np.cumsum(self.last_a) - self.last_a, np.cumsum(self.last_b) - self.last_b
+        behind_a = np.flatnonzero(self.last_a) + 1  # tokens of A up to the end of each group
+        behind_b = np.concatenate([[0], np.flatnonzero(self.last_b) + 1])
+        out = np.empty(len(self.ids_a) + len(self.ids_b), object)
+        out[np.arange(len(self.ids_a)) + behind_b[groups_a]] = words_a[self.ids_a + self.last_a * (len(words_a) // 2)]
+        out[np.arange(len(self.ids_b)) + behind_a[groups_b]] = words_b[self.ids_b + self.last_b * (len(words_b) // 2)]
+        return "".join(out.tolist())[:-1]
+
+
+def words(size: int, mark: str) -> np.ndarray:
+    return np.array([f"{k}," for k in range(size)] + [f"{k}{mark}" for k in range(size)], object)
 
 
 def align(text: str | None, a: ByteLevel, b: Pieces) -> Aligned | None:
@@ -176,13 +184,10 @@ def align(text: str | None, a: ByteLevel, b: Pieces) -> Aligned | None:
     if not text:
         return None
     ids_a, ids_b = a.ids(" " + text), b.ids(text)
-    bytes_a, bytes_b = [a.bytes[k] for k in ids_a.tolist()], [b.bytes[k] for k in ids_b.tolist()]
     whole = (" " + text).encode()
-    if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+    if b"".join(map(a.bytes.__getitem__, ids_a.tolist())) != whole or b"".join(map(b.bytes.__getitem__, ids_b.tolist())) != whole:
         return None
-    ends_a = np.cumsum(np.fromiter(map(len, bytes_a), np.int64, len(bytes_a)))
-    ends_b = np.cumsum(np.fromiter(map(len, bytes_b), np.int64, len(bytes_b)))
-    return Aligned(ids_a, ids_b, ends_a, ends_b)
+    return Aligned(ids_a, ids_b, np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]))
 
 
 # --- the corpus -------------------------------------------------------------------------------
@@ -199,6 +204,7 @@ def _aligned(path_a: str, path_b: str):
     def find(batches):
         a, b = loaded(ByteLevel, path_a), loaded(Pieces, path_b)
         width = len(b.bytes)
+        words_a, words_b = words(len(a.bytes), "|"), words(width, ";")
         for batch in batches:
             rows, held = [], 0
             for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
@@ -207,7 +213,7 @@ def _aligned(path_a: str, path_b: str):
                     rows.append((doc, 0, 0, 0, 0, "", [], []))
                     continue
                 keys, times = done.pairs(width)
-                digest = hashlib.sha256(done.told().encode()).hexdigest()
+                digest = hashlib.sha256(done.told(words_a, words_b).encode()).hexdigest()
                 rows.append((doc, len(done.ids_a), len(done.ids_b), done.n_groups, int(times.sum()), digest, keys, times.astype(np.int32)))
                 held += len(keys)
                 if held > 500_000:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -25,17 +26,24 @@ def test_equal_runs_and_groups():
         share = rng.choice([0.1, 0.5, 0.9, 1.0])
         a = sorted({n, *(x for x in range(1, n) if rng.random() < share)})
         b = sorted({n, *(x for x in range(1, n) if rng.random() < share)})
+        ends_a, ends_b = np.array(a), np.array(b)
+        raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
         for _ in range(5):
             i, j = rng.randrange(len(a)), rng.randrange(len(b))
+            room = min(len(a) - i, len(b) - j)
             most = 0
-            while i + most < len(a) and j + most < len(b) and a[i + most] == b[j + most]:
+            while most < room and a[i + most] == b[j + most]:
                 most += 1
-            assert alignment.equal_run(a, b, i, j) == most
-        common, got = sorted(set(a) & set(b)), []
-        for i, k, j, m in alignment.groups(a, b):
-            got += a[i:k] if a[i] == b[j] else [a[k - 1]]
-            assert a[k - 1] == b[m - 1]
-        assert got == common
+            assert alignment.equal_run(raw_a, raw_b, 8 * i, 8 * j, 8 * room) == 8 * most
+        inner_a, inner_b = alignment.inner_ends(ends_a, ends_b)
+        assert inner_a == [i for i, end in enumerate(a) if end not in set(b)]
+        assert inner_b == [j for j, end in enumerate(b) if end not in set(a)]
+
+
+def test_a_long_diagonal_is_skipped():
+    a = np.arange(1, 1_000_001)
+    b = np.delete(a, [500, 700_000])
+    assert alignment.inner_ends(a, b) == ([500, 700_000], [])
 
 
 def by_definition(text, both):
@@ -106,7 +114,8 @@ def test_any_text(both, text):
     if got:
         keys, times = got.pairs(len(both[1].bytes))
         held = Counter({(k // len(both[1].bytes), k % len(both[1].bytes)): n for k, n in zip(keys.tolist(), times.tolist())})
-        assert (len(got.ids_a), len(got.ids_b), got.told(), held) == (*want[:3], Counter(want[3]))
+        told = got.told(alignment.words(len(both[0].bytes), "|"), alignment.words(len(both[1].bytes), ";"))
+        assert (len(got.ids_a), len(got.ids_b), told, held) == (*want[:3], Counter(want[3]))
 
 
 def test_given_documents(spark, both, sf_dir):
