@@ -76,3 +76,36 @@ def test_ids_that_are_null_or_come_twice(spark):
     frame = spark.createDataFrame([(None, a), (3, a), (5, b), (5, b), (6, "x y")], "doc_id long, text string")
     found = {(r.doc, r.component) for r in jaccard.near_duplicates(frame).collect()}
     assert found == {(-(2**63), -(2**63)), (3, -(2**63)), (5, 5), (6, 6)}
+
+
+def test_a_template_below_the_threshold_makes_no_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    common = [f"c{i}" for i in range(300)]
+    texts = {i: " ".join(common + [f"o{i}x{k}" for k in range(130)]) for i in range(400)}
+    texts |= {1000 + i: edited(draw, texts[i], 2) for i in range(3)}
+    seen = []
+    alike, blocked = jaccard._verified, jaccard._blocked
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets, least: seen.append((pairs.count(), sets.count())) or alike(pairs, sets, least))
+    monkeypatch.setattr(jaccard, "_blocked", lambda members, *rest: seen.append(members.count()) or blocked(members, *rest))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc: r.component for r in jaccard.near_duplicates(frame).collect()}
+    assert {doc: first for doc, first in found.items() if doc != first} == {1000: 0, 1001: 1, 1002: 2}
+    assert seen[0][1] == 6 and seen[0][0] < len(texts) and seen[1] < 400
+
+
+def test_a_group_around_a_centre_with_members_on_both_sides(spark, monkeypatch):
+    draw = random.Random(5)
+    centre = " ".join(f"c{i}" for i in range(146))
+    texts = {i: edited(draw, centre, draw.randint(1, 8)) for i in range(150)}
+    expected = grouped(texts)
+    assert len(set(expected.values())) > 3
+    frame = spark.createDataFrame([(d, t, 1, 2) for d, t in texts.items()], "doc_id long, text string, doc int, hashes int")
+    for side in (8, 256):
+        monkeypatch.setattr(jaccard, "SIDE", side)
+        assert {r.doc: r.component for r in jaccard.near_duplicates(frame).collect()} == expected
+
+
+def test_an_empty_table_and_ids_with_several_texts(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (3, "A b c d e f")], "doc_id long, text string")
+    assert {r.doc: r.component for r in jaccard.near_duplicates(frame).collect()} == {1: 1, 2: 1, 3: 1}
+    assert jaccard.near_duplicates(frame.limit(0)).count() == 0

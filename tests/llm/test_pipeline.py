@@ -6,6 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tests.llm import brute
+from tests.llm.test_jaccard import grouped
 from tests.llm.test_mixing import brute_targets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,8 +48,7 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     # near duplicates
     held = spark.createDataFrame(lined, SCHEMA)
     single = P.near_duplicates(spark, held, "").collect()
-    prints = {r.doc_id: brute.fingerprint(r.text, P.SHINGLE) for r in lined}
-    groups = brute.linked(prints, P.RADIUS)
+    groups = grouped({r.doc_id: r.text for r in lined}, P.SIMILARITY)
     assert {r.doc_id for r in single} == {doc for doc, first in groups.items() if doc == first}
     assert len(single) < len(lined)
     # mixing: whole copies, each source near its target
