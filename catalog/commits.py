@@ -83,7 +83,7 @@ def plain_lines(text: str) -> str:
 
 
 def k4(spark, sf):
-    return spine(spark, sf).select("repo", "sha", "ord", "parent", "subject", "files", "added_lines", "removed_lines", "added_code_lines", "removed_code_lines")
+    return spine(spark, sf).select("repo", "sha", "ord", "parent", "subject", "files", *P.COUNTS)
 
 
 # A commit adds its own turn, replaces the notes and drops the turn before the last;
@@ -95,9 +95,16 @@ s AS (SELECT c.conv_id, c.turn, c.text, p.text AS prev, g.text AS gone FROM t c
 l AS (SELECT conv_id, turn, line, sum(step) AS step FROM (SELECT conv_id, turn, unnest({O.split_lines('text')}) AS line, 1 AS step FROM s
   UNION ALL SELECT conv_id, turn, unnest({O.split_lines('prev')}), -1 FROM s WHERE prev IS NOT NULL) GROUP BY ALL),
 n AS (SELECT conv_id, turn, coalesce(sum(greatest(step, 0)) FILTER ({O.rx('line', '[^' + V.SPACE + ']')}), 0) AS i, coalesce(sum(greatest(-step, 0)) FILTER ({O.rx('line', '[^' + V.SPACE + ']')}), 0) AS o FROM l GROUP BY ALL),
-f AS (SELECT s.*, coalesce(gone = text, false) AS moved, coalesce(i, 0) AS i, coalesce(o, 0) AS o, {plain_lines('text')} AS own, CASE WHEN gone IS NULL THEN 0 ELSE {plain_lines('gone')} END AS lost FROM s LEFT JOIN n USING (conv_id, turn))""",
+e AS (SELECT conv_id, turn, side, line, spot, row_number() OVER (PARTITION BY conv_id, turn, side, line ORDER BY spot) AS nth
+  FROM (SELECT conv_id, turn, 1 AS side, {O.split_lines('text')} AS parts, unnest(range(len(parts))) AS spot, parts[spot + 1] AS line FROM s
+    UNION ALL SELECT conv_id, turn, -1, {O.split_lines('prev')} AS parts, unnest(range(len(parts))) AS spot, parts[spot + 1] FROM s WHERE prev IS NOT NULL)),
+j AS (SELECT conv_id, turn, side, string_agg(line, chr(10) ORDER BY spot) AS lines
+  FROM e LEFT JOIN (SELECT conv_id, turn, -side AS side, line, nth FROM e) o USING (conv_id, turn, side, line, nth) WHERE o.conv_id IS NULL GROUP BY ALL),
+k AS (SELECT conv_id, turn, max({O.tokens("lines")}) FILTER (side = 1) AS ti, max({O.tokens("lines")}) FILTER (side = -1) AS tu FROM j GROUP BY ALL),
+f AS (SELECT s.*, coalesce(ti, 0) AS ti, coalesce(tu, 0) AS tu, {O.tokens('text')} AS whole, CASE WHEN gone IS NULL THEN 0 ELSE {O.tokens('gone')} END AS dropped, coalesce(gone = text, false) AS moved, coalesce(i, 0) AS i, coalesce(o, 0) AS o, {plain_lines('text')} AS own, CASE WHEN gone IS NULL THEN 0 ELSE {plain_lines('gone')} END AS lost FROM s LEFT JOIN n USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn))""",
     f"""SELECT conv_id::VARCHAR AS repo, conv_id || ':' || turn AS sha, turn::INT AS ord, CASE WHEN turn = 0 THEN '{V.EMPTY_TREE}' ELSE conv_id || ':' || (turn - 1) END AS parent,
   {O.trim("string_split(text, chr(10))[1]")} AS subject, (CASE WHEN prev IS DISTINCT FROM text THEN 1 ELSE 0 END + CASE WHEN moved THEN 1 WHEN gone IS NULL THEN 1 ELSE 2 END)::BIGINT AS files,
+  (ti + CASE WHEN moved THEN 0 ELSE whole END)::BIGINT AS added_tokens, (tu + CASE WHEN moved THEN 0 ELSE dropped END)::BIGINT AS removed_tokens,
   (i + CASE WHEN moved THEN 0 ELSE own END)::BIGINT AS added_lines, (o + CASE WHEN moved THEN 0 ELSE lost END)::BIGINT AS removed_lines,
   (i + CASE WHEN moved THEN 0 ELSE own END)::BIGINT AS added_code_lines, (o + CASE WHEN moved THEN 0 ELSE lost END)::BIGINT AS removed_code_lines FROM f""")
 
@@ -189,11 +196,14 @@ SELECT repo, sha, (least(total, 3) - newest)::INT AS ord, total - least(total, 3
 
 
 def d11(spark, sf):
-    return k4(spark, sf).select("repo", "sha", "files", "added_lines", "removed_lines")
+    return k4(spark, sf).select("repo", "sha", "files", *P.COUNTS)
 
 
 def d12(spark, sf):
-    return P.heaviest_churn(spine(spark, sf), "lines")
+    """The most one commit adds and removes, in each of the three measures."""
+    entries = written(spine(spark, sf), "entries")
+    lines, code, tokens = (P.heaviest_churn(entries, m).withColumnRenamed("heaviest", f"heaviest_{m}") for m in ("lines", "code_lines", "tokens"))
+    return lines.join(code, "repo").join(tokens, "repo")
 
 
 def f10(spark, sf):
@@ -232,8 +242,8 @@ FROM tip a JOIN tip b ON b.repo = a.repo AND a.r = 1 AND b.r = 2 LEFT JOIN (SELE
 
 
 ENTRIES = [
-    ("d11_commit_totals", d11, "SELECT repo, sha, files, added_lines, removed_lines FROM (" + K4_SQL + ")"),
-    ("d12_heaviest_churn", d12, "SELECT repo, max(added_lines + removed_lines) AS heaviest FROM (" + K4_SQL + ") GROUP BY repo"),
+    ("d11_commit_totals", d11, "SELECT repo, sha, files, " + ", ".join(P.COUNTS) + " FROM (" + K4_SQL + ")"),
+    ("d12_heaviest_churn", d12, "SELECT repo, " + ", ".join(f"max(added_{m} + removed_{m}) AS heaviest_{m}" for m in ("lines", "code_lines", "tokens")) + " FROM (" + K4_SQL + ") GROUP BY repo"),
     ("f10_commit_sides", f10, F10_SQL),
     ("g6_chained_runs", lambda spark, sf: C.chained(broken(spark, sf)).select("repo", "ord", "run"), f"WITH {LISTED} SELECT repo, ord, run FROM runs"),
     ("g7_slid_spans", g7, G7_SQL),

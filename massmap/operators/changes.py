@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massmap.functions.fixed_values import CONTEXT_LINES
-from massmap.functions.text import decoded
+from massmap.operators import similar
 from massmap.operators.ordered import ranked
 from massmap.session import written
 
@@ -95,8 +95,6 @@ def with_renames(changes: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFra
 
 
 SIMILARITY = 0.5
-# Buckets with at most so many files on one side meet all of each other in the first round.
-MEETING = 64
 
 
 def with_similar_renames(
@@ -105,70 +103,18 @@ def with_similar_renames(
 ) -> DataFrame:
     """Pair deleted and added paths whose lines are at least half the same, best pairs first.
 
-    Every pair that is alike shares one of its leading lines, rarest first (see
-    ``_leading``), so no such pair is out of sight. In a bucket of files with the same
-    leading line all meet if one side is small; in a larger one the n-th deleted meets
-    the n-th added. Paired files leave, and larger buckets meet again with twice the
-    bound until none is left. Each candidate is compared on its whole lines.
+    No pair that is alike is out of sight, and each one reported was compared on all of
+    its lines (see ``operators/similar.py``). Only contents of keys with files on both
+    sides are read.
     """
-    lines = written(
-        _lines(changes.where("status = 'deleted'"), before, keys, max_bytes).withColumn("side", F.lit("out")).unionByName(
-            _lines(changes.where("status = 'added'"), after, keys, max_bytes).withColumn("side", F.lit("in"))
-        ),
-        "lines",
+    one_sided = changes.where("status IN ('deleted', 'added')").select(*keys, "path", "status")
+    two = one_sided.groupBy(*keys).agg(F.count_distinct("status").alias("sides")).where("sides = 2").select(*keys)
+    open_ = one_sided.join(two, list(keys), "left_semi")
+    lines = similar.lines_by_code(open_.where("status = 'deleted'"), before, keys, max_bytes).withColumn("side", F.lit("out"))
+    lines = lines.unionByName(
+        similar.lines_by_code(open_.where("status = 'added'"), after, keys, max_bytes).withColumn("side", F.lit("in"))
     )
-    sizes = written(
-        lines.groupBy(*keys, "path", "side").agg(
-            F.map_from_entries(F.collect_list(F.struct("code", "bytes"))).alias("sizes"), F.sum("bytes").alias("size")
-        ),
-        "sizes",
-    )
-    open_ = written(_leading(lines, sizes, keys, least), "leading")
-    bucket, bound, met, pairs = [*keys, "code"], MEETING, None, None
-    old = sizes.where("side = 'out'").select(*keys, F.col("path").alias("base_path"), F.col("sizes").alias("old"))
-    new = sizes.where("side = 'in'").select(*keys, "path", F.col("sizes").alias("new"))
-    shared = F.aggregate(
-        F.map_keys("old"), F.lit(0).cast("bigint"),
-        lambda total, line: total + F.least(F.coalesce(F.try_element_at("old", line), F.lit(0)),
-                                            F.coalesce(F.try_element_at("new", line), F.lit(0))),
-    )
-
-    def size(side: str) -> Column:
-        return F.aggregate(F.map_values(side), F.lit(0).cast("bigint"), lambda total, n: total + n)
-
-    likeness = shared / F.greatest(size("old"), size("new"))
-
-    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        out = rows.where("side = 'out'").select(*bucket, *more, F.col("path").alias("base_path"), F.col("size").alias("old_size"))
-        return out, rows.where("side = 'in'").select(*bucket, *more, "path", F.col("size").alias("new_size"))
-
-    # a little below, so that rounding loses no pair that is just alike
-    near = F.least("old_size", "new_size") >= F.greatest("old_size", "new_size") * F.lit(least - 1e-9)
-    while True:
-        held = open_.groupBy(*bucket).agg(F.count_if(F.col("side") == "out").alias("outs"), F.count_if(F.col("side") == "in").alias("ins"))
-        held = held.where("outs > 0 AND ins > 0").select(*bucket, (F.least("outs", "ins") > bound).alias("large"))
-        open_ = written(open_.join(held, bucket), "open")
-        if open_.isEmpty():
-            break
-        small, large = open_.where("NOT large").drop("large"), open_.where("large").drop("large")
-        out, into = sides(small)
-        meeting = into.join(out, bucket).where(near).select(*keys, "path", "base_path")
-        out, into = sides(ranked(large, [*bucket, "side"], [F.col("path")], "turn"), "turn")
-        in_turn = into.join(out, [*bucket, "turn"]).where(near).select(*keys, "path", "base_path")
-        candidates = meeting.unionByName(in_turn).distinct()
-        if met is not None:
-            candidates = candidates.join(met, [*keys, "path", "base_path"], "left_anti")
-        candidates = written(candidates, "candidates")
-        met = candidates if met is None else met.unionByName(candidates)
-        scored = candidates.join(old, [*keys, "base_path"]).join(new, [*keys, "path"])
-        edges = scored.select(*keys, "path", "base_path", likeness.alias("likeness")).where(F.col("likeness") >= least)
-        won = _best_pairs(written(edges, "edges"), keys)
-        open_ = large
-        if won is not None:
-            pairs = won if pairs is None else pairs.unionByName(won)
-            gone = won.select(*keys, F.col("base_path").alias("path"), F.lit("out").alias("side"))
-            open_ = open_.join(gone.unionByName(won.select(*keys, "path", F.lit("in").alias("side"))), [*keys, "path", "side"], "left_anti")
-        bound *= 2
+    pairs = similar.alike(lines, keys, least)
     if pairs is None:
         return changes
     out = changes.where("status = 'deleted'").select(*keys, F.col("path").alias("base_path"),
@@ -184,58 +130,6 @@ def with_similar_renames(
     )
 
 
-def _lines(paths: DataFrame, snapshot: DataFrame, keys: Sequence[str], max_bytes: int | None) -> DataFrame:
-    """``(keys, path, code, bytes)``: the distinct lines of each readable file by hash, with their bytes in the file."""
-    held = snapshot.select(*keys, "path", "size", decoded(F.col("content"))["text"].alias("text"))
-    if max_bytes is not None:
-        held = held.where(F.col("size") <= max_bytes)
-    rows = paths.select(*keys, "path").join(held, [*keys, "path"]).where("text != ''")
-    lines = rows.select(*keys, "path", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.groupBy(*keys, "path", F.xxhash64("line").alias("code")).agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
-
-
-def _leading(lines: DataFrame, sizes: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """``(keys, code, side, path, size)``: of each file the lines that a file alike could share first.
-
-    Lines stand in one order for all files: those of one side only, then by how many
-    files hold them. A line leads if it and all after it make ``least`` of the file. The
-    first line that two files share leads in both if they are alike: otherwise all that
-    they share would be less than that part of one of them.
-    """
-    from pyspark.sql import Window
-
-    holders = lines.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("side").alias("sides"))
-    common = lines.join(holders.where("sides = 2").drop("sides"), [*keys, "code"])
-    file = [*keys, "path", "side"]
-    rest = Window.partitionBy(*file).orderBy(F.col("files").desc(), F.col("code").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    led = common.withColumn("rest", F.sum("bytes").over(rest)).join(sizes.select(*file, "size"), file)
-    return led.where(F.col("rest") >= F.col("size") * F.lit(least - 1e-9)).select(*keys, "code", "side", "path", "size")
-
-
-def _best_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """One-to-one pairs: in each round those that are each other's best; until none is left.
-
-    Equal likeness is settled by a hash of the pair, so that ties do not cost a round each.
-    """
-    edges = edges.withColumn("lot", F.xxhash64("base_path", "path"))
-    pairs = None
-    while not edges.isEmpty():
-        mine = edges.groupBy(*keys, "path").agg(F.max(F.struct("likeness", "lot", "base_path")).alias("best"))
-        theirs = edges.groupBy(*keys, "base_path").agg(F.max(F.struct("likeness", "lot", "path")).alias("best"))
-        won = mine.select(*keys, "path", F.col("best.base_path").alias("base_path")).join(
-            theirs.select(*keys, "base_path", F.col("best.path").alias("path")), [*keys, "path", "base_path"]
-        )
-        won = written(won, "pairs")
-        pairs = won if pairs is None else pairs.unionByName(won)
-        edges = written(
-            edges.join(won.select(*keys, "path"), [*keys, "path"], "left_anti").join(
-                won.select(*keys, "base_path"), [*keys, "base_path"], "left_anti"
-            ),
-            "edges",
-        )
-    return pairs
-
-
 # --- lines of one changed file, as arrays in its row ---------------------------
 def _same_run(left: Column, right: Column) -> Column:
     """How many leading entries two arrays share."""

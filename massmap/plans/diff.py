@@ -136,14 +136,35 @@ def diff(
     Snapshots are ``(keys, path, mode, size, content[, blob])``; with ``blob``
     stored, unchanged contents are never read.
     """
-    changes = changed_paths(before, after, keys)
+    return compared(
+        changed_paths(before, after, keys), before, after, after, keys, exclude, max_bytes, tokens, renames, similar
+    )
+
+
+def compared(
+    changes: DataFrame,
+    before: DataFrame,
+    after: DataFrame,
+    listing: DataFrame,
+    keys: Sequence[str] = ("repo",),
+    exclude: Sequence[str] = (),
+    max_bytes: int | None = None,
+    tokens: TokenCounter = pre_tokens,
+    renames: bool = True,
+    similar: bool = True,
+) -> DataFrame:
+    """As :func:`diff`, from a list of changed paths.
+
+    ``before`` and ``after`` need no more than these paths; ``listing`` names all
+    paths of the newer side, for the locale folders.
+    """
     if renames:
         changes = written(with_renames(changes, keys), "changes")
     if renames and similar:
         changes = written(with_similar_renames(changes, before, after, keys, max_bytes=max_bytes), "changes")
     texts = changed_texts(changes, before, after, keys, exclude, max_bytes, tokens)
     levels = locale_levels(
-        after.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys
+        listing.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys
     )
     return file_rows(with_locale_copy(texts, levels, keys), keys, tokens)
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massmap.plans.diff import diff
+from massmap.operators.intervals import changed_contents, changed_sides, interval_changes, path_intervals, tree_entries, tree_row
+from massmap.plans.diff import compared
+from massmap.session import written
 
 COUNTS = ["added_tokens", "removed_tokens", "added_lines", "removed_lines", "added_code_lines", "removed_code_lines"]
 
@@ -25,8 +27,18 @@ def commit_sides(listed: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, Da
 
 
 def commit_files(listed: DataFrame, snapshots: DataFrame, renames: bool = True, **options) -> DataFrame:
-    before, after = commit_sides(listed, snapshots)
-    return diff(before, after, keys=("repo", "sha"), renames=renames, **options)
+    """Every listed commit against its parent, one row per changed file.
+
+    Changes are the ends of intervals (see ``operators/intervals.py``); each changed
+    content is fetched once, however many commits name it.
+    """
+    trees = written(tree_row(listed), "trees")
+    entries = written(tree_entries(trees, snapshots), "entries")
+    changes = written(interval_changes(path_intervals(entries), trees), "changes")
+    contents = written(changed_contents(changes, snapshots), "contents")
+    before, after = changed_sides(changes, contents)
+    listing = entries.where("sha IS NOT NULL").select("repo", "sha", "path")
+    return compared(changes, before, after, listing, keys=("repo", "sha"), renames=renames, **options)
 
 
 def commit_totals(files: DataFrame, keys: Sequence[str] = ("repo", "sha")) -> DataFrame:
