@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from massmap.functions import fixed_values as V
 from massmap.functions.paths import base_name, extension, folder_names, stem
-from massmap.functions.text import fixed_list, one_of, trimmed, utf16_length
+from massmap.functions.text import among, asked, fixed_list, one_of, quoted, trimmed, utf16_length
 
 
 def under_any(path: Column, folders: list[str]) -> Column:
@@ -21,18 +21,22 @@ def locale_shaped(name: Column) -> Column:
     return name.rlike(V.LOCALE_NAME)
 
 
+def _locale_name() -> str:
+    language, qualifier, region = (f"regexp_extract(v, {quoted(V.LOCALE_NAME)}, {group})" for group in (1, 2, 3))
+    return (
+        f"({among(language, V.LANGUAGE_CODES + V.LEGACY_LANGUAGE_CODES)} AND IF({region} != '', "
+        f"{among(qualifier, V.SCRIPT_CODES)} AND {among(region, V.REGION_CODES)}, "
+        f"{qualifier} = '' OR {among(qualifier, V.REGION_CODES + V.SCRIPT_CODES)}))"
+    )
+
+
 def locale_name(name: Column) -> Column:
     """A language code, alone or with a real region, script, or script and region."""
-    language, qualifier, region = (F.regexp_extract(name, V.LOCALE_NAME, group) for group in (1, 2, 3))
-    known_language = one_of(language, V.LANGUAGE_CODES + V.LEGACY_LANGUAGE_CODES)
-    tail = F.when(region != "", one_of(qualifier, V.SCRIPT_CODES) & one_of(region, V.REGION_CODES)).otherwise(
-        (qualifier == "") | one_of(qualifier, V.REGION_CODES + V.SCRIPT_CODES)
-    )
-    return known_language & tail
+    return asked(name, _locale_name())
 
 
 def regioned_locale(name: Column) -> Column:
-    return locale_name(name) & (F.regexp_extract(name, V.LOCALE_NAME, 2) != "")
+    return asked(name, f"{_locale_name()} AND regexp_extract(v, {quoted(V.LOCALE_NAME)}, 2) != ''")
 
 
 # --- tests ------------------------------------------------------------------

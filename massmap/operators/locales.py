@@ -58,8 +58,8 @@ def with_locale_copy(
 ) -> DataFrame:
     """Add whether each file is one language's copy of something.
 
-    ``files`` may carry whole texts, so it is joined once, on its own folder, to
-    the few folders that matter; those are worked out on the slim levels table.
+    ``files`` should be slim: give it its texts afterwards. It is joined once, on its
+    own folder, to the few folders that matter.
     A file counts when a level is its own folder and its stem is a locale, or
     when a locale-named folder above it sits in a level. The levels are asked
     twice, so they are written once instead of being worked out twice.

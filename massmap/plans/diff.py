@@ -161,12 +161,12 @@ def compared(
     if renames:
         changes = written(with_renames(changes, keys), "changes")
     if renames and similar:
-        changes = written(with_similar_renames(changes, before, after, keys, max_bytes=max_bytes), "changes")
-    texts = changed_texts(changes, before, after, keys, exclude, max_bytes, tokens)
+        changes = with_similar_renames(changes, before, after, keys, max_bytes=max_bytes)
     levels = locale_levels(
         listing.where(~in_folder_named(F.col("path"), exclude)).select(*keys, "path"), keys
     )
-    return file_rows(with_locale_copy(texts, levels, keys), keys, tokens)
+    changes = written(with_locale_copy(changes, levels, keys), "changes")  # slim rows, before they get their texts
+    return file_rows(changed_texts(changes, before, after, keys, exclude, max_bytes, tokens), keys, tokens)
 
 
 def file_rows(texts: DataFrame, keys: Sequence[str], tokens: TokenCounter = pre_tokens) -> DataFrame:
