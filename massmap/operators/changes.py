@@ -149,18 +149,84 @@ def _indices(start: Column, length: Column) -> Column:
 def minimal_alignment():
     """Arrow UDF: the lines a minimal script removes and adds, for one region per row.
 
-    Longest common subsequence by bit rows: one big integer per line of one
-    side holds the whole frontier of the other. A large region drops the lines
-    that only one side has and is halved where the frontiers of both halves
-    meet (Hirschberg), until its parts are small; so it takes linear space and
-    stays minimal. Everything lives inside so that executors need no package
-    installed to run it.
+    A region of up to 10,000 lines is settled by bit rows: one big integer per line of
+    one side holds the whole frontier of the other. A larger one drops the lines that
+    only one side has and follows the furthest-reaching path of each number of
+    differences, so its cost is the square of the differences, not the lines. Past 1,000
+    differences it is halved where the bit-row frontiers of both halves meet
+    (Hirschberg), and the halves start anew. Every way is minimal and takes linear space.
+    Everything lives inside so that executors need no package installed to run it.
     """
     import numpy as np
     import pandas as pd
 
     # Lines of both sides up to which all rows are kept: at most 3 MB of bits.
     direct = 10_000
+    # Differences that furthest-reaching paths follow: half a million steps, and as many numbers kept, at most.
+    reach = 1_000
+
+    def equal_run(old, new, x, y, most):
+        """How many of ``most`` lines agree from two places on: probes of doubling length, then halving."""
+        done, step = 0, 1
+        while done < most:
+            step = min(step, most - done)
+            if old[8 * (x + done) : 8 * (x + done + step)] != new[8 * (y + done) : 8 * (y + done + step)]:
+                break
+            done, step = done + step, 2 * step
+        else:
+            return done
+        same, differ = 0, step
+        while differ - same > 1:
+            half = (same + differ) // 2
+            low, high = done + same, done + half
+            if old[8 * (x + low) : 8 * (x + high)] == new[8 * (y + low) : 8 * (y + high)]:
+                same = half
+            else:
+                differ = half
+        return done + same
+
+    def furthest(old, new):
+        """Runs (old place, new place, lines) of a minimal script, or None past ``reach`` differences."""
+        n, m = len(old), len(new)
+        old, new = (np.array(side, np.int64).tobytes() for side in (old, new))
+        paths = [[0] * 3]  # of d differences: how far each diagonal from -d - 1 to d + 1 goes on the old side
+        for d in range(min(reach, n + m) + 1):
+            last, now = paths[-1], [-1] * (2 * d + 3)
+            for k in range(-d, d + 1, 2):
+                if not -m <= k <= n:
+                    continue
+                at = k + d  # diagonal k among those of d - 1 differences, one to the left of its own
+                if d == 0:
+                    x = 0
+                else:
+                    down = last[at + 1] if at + 1 < len(last) else -1
+                    right = last[at - 1] if at >= 1 else -1
+                    x = max(down, right + 1 if right >= 0 else -1)
+                y = x - k
+                if x < 0 or x > n or y < 0 or y > m:
+                    continue
+                x += equal_run(old, new, x, y, min(n - x, m - y))
+                now[at + 1] = x
+                if x >= n and x - k >= m:
+                    paths.append(now)
+                    return runs_of(paths, n, m)
+            paths.append(now)
+        return None
+
+    def runs_of(paths, n, m):
+        x, y, runs = n, m, []
+        for d in range(len(paths) - 2, 0, -1):
+            k, last = x - y, paths[d]
+            at = k + d
+            down = last[at + 1] if at + 1 < len(last) else -1
+            right = last[at - 1] if at >= 1 else -1
+            came = max(down, right + 1 if right >= 0 else -1)
+            if x > came:
+                runs.append((came, came - k, x - came))
+            x, y = (right, right - k + 1) if right >= 0 and right + 1 >= down else (down, down - k - 1)
+        if x:
+            runs.append((0, 0, x))
+        return runs
 
     def one(before, after):
         if len(before) + len(after) <= direct:
@@ -190,6 +256,12 @@ def minimal_alignment():
                 kept_old.update(left[a + at] for at in range(b - a) if at not in out)
                 kept_new.update(right[c + at] for at in range(d - c) if at not in came)
                 continue
+            runs = furthest(old[a:b], new[c:d])
+            if runs is not None:
+                for x, y, lines in runs:
+                    kept_old.update(left[a + x : a + x + lines])
+                    kept_new.update(right[c + y : c + y + lines])
+                continue
             if b - a == 1:
                 at = next((at for at in range(c, d) if new[at] == old[a]), None)
                 if at is not None:
