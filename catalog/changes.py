@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import oracle as O
 from massmap.functions import fixed_values as V
 from massmap.operators import changes as C
+from massmap.operators.interning import interned
 from massmap.plans import diff as P
 from massmap.plans import report as R
 from massmap.plans import view as W
@@ -185,6 +186,26 @@ J6_SQL = O.with_ctes(LINE_PAIRS, """SELECT repo, path, 'before' AS side, md5(arr
   UNION ALL SELECT repo, path, 'after', md5(array_to_string(a, chr(10))) FROM line_pairs WHERE len(a) > 0""")
 
 
+def f6(spark, sf):
+    """Lines of both sides as numbers, and the same alignment worked out on numbers alone."""
+    ids = written(interned(pairs_of_lines(spark, sf)), "ids")
+    aligned = C.with_line_diff(ids, "before_ids", "after_ids")
+    told = [F.array_join(c, ",").alias(c) for c in ("before_ids", "after_ids")]
+    return aligned.select("repo", "path", "distinct_lines", *told, F.size("removed").alias("removed"), F.size("added").alias("added"))
+
+
+F6_SQL = O.with_ctes(LINE_PAIRS, """SELECT p.repo, p.path, coalesce(distinct_lines, 0)::BIGINT AS distinct_lines,
+  coalesce(before_ids, '') AS before_ids, coalesce(after_ids, '') AS after_ids, j.removed, j.added
+FROM line_pairs p LEFT JOIN (SELECT repo, path, count(DISTINCT id) AS distinct_lines, string_agg(id, ',' ORDER BY spot) FILTER (side = 0) AS before_ids,
+    string_agg(id, ',' ORDER BY spot) FILTER (side = 1) AS after_ids
+  FROM (SELECT repo, path, side, spot, (dense_rank() OVER (PARTITION BY repo, path ORDER BY opened) - 1)::VARCHAR AS id FROM (
+    SELECT *, min(side * 1000000000 + spot) OVER (PARTITION BY repo, path, line) AS opened FROM (
+      SELECT repo, path, 0 AS side, generate_subscripts(b, 1) AS spot, unnest(b) AS line FROM line_pairs
+      UNION ALL SELECT repo, path, 1, generate_subscripts(a, 1), unnest(a) FROM line_pairs)))
+  GROUP BY repo, path) i ON i.repo = p.repo AND i.path = p.path
+JOIN (""" + J3_SQL + """) j ON j.repo = p.repo AND j.path = p.path""")
+
+
 def marked_lines(spark, sf):
     """Document lines as an aligned listing: every 17th and 23rd line is a change."""
     from massmap.functions.lines import split_lines
@@ -260,6 +281,7 @@ def f1_similar(spark, sf):
 
 
 ENTRIES = [
+    ("f6_interned_lines", f6, F6_SQL),
     ("f1_similar_renames", f1_similar, None),
     ("a11_changed_paths", lambda spark, sf: changed(spark, sf).select("repo", "path", "status", "before_mode", "after_mode"),
      O.with_ctes(REVISIONS, "SELECT repo, path, status, CASE WHEN status <> 'added' THEN '100644' END AS before_mode, CASE WHEN status <> 'deleted' THEN '100644' END AS after_mode FROM raw_changes")),

@@ -349,7 +349,7 @@ def with_line_diff(
     frame: DataFrame, before: str = "before_line_texts", after: str = "after_line_texts",
     cap: int | None = None,
 ) -> DataFrame:
-    """Add ``removed`` and ``added`` (line indices) and ``capped`` to rows holding both sides.
+    """Add ``removed`` and ``added`` (line indices) and ``capped`` to rows holding both sides, as texts or as numbers.
 
     Common head and tail are trimmed in the JVM. A region with one empty side,
     or past a ``cap`` that is given, is wholly replaced; only what is left goes to Python.
@@ -364,7 +364,7 @@ def with_line_diff(
     )
     frame = frame.withColumn("capped", F.lit(False) if cap is None else F.col("__out") + F.col("__in") > cap)
     open_region = ~F.col("capped") & (F.col("__out") > 0) & (F.col("__in") > 0)
-    none = F.array().cast("array<string>")
+    none = F.slice(old, 1, 0)
     frame = frame.withColumns(
         {
             "__old": F.when(open_region, _between(old, F.col("__head"), F.col("__out"))).otherwise(none),
