@@ -288,7 +288,7 @@ SELECT event_id, CASE WHEN s < 45 THEN 'just now' WHEN s < 3600 THEN floor(s / 6
 
 def b34(spark, sf):
     turns = A.table(spark, sf, "conversations")
-    return turns.select("conv_id", "turn", K.subject(F.col("text")).alias("subject"), K.body(F.col("text")).alias("body"))
+    return turns.select("conv_id", "turn", K.subject(F.col("text")).alias("subject"), K.body(F.col("text"), V.MAX_COMMIT_BODY).alias("body"))
 
 
 B34_REST = O.trim("CASE WHEN contains(text, chr(10)) THEN regexp_replace(text, '^[^\\n]*\\n', '') ELSE '' END")

@@ -65,6 +65,11 @@ def _whole(value: Column) -> Column:
     return F.floor(value + 0.5).cast("bigint").cast("string")
 
 
+def heaviest_first(weight: Column) -> Column:
+    """Twenty digits that sort as text from the largest 64-bit number down to the smallest."""
+    return F.lpad((F.lit(2**63 - 1).cast("decimal(20,0)") - weight.cast("decimal(20,0)")).cast("string"), 20, "0")
+
+
 def compact(value: Column) -> Column:
     """Three or four significant characters: 999, 1.0k, 9.9k, 10k, 1.2M."""
     size = F.abs(value)

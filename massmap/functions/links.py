@@ -13,11 +13,13 @@ def subject(message: Column) -> Column:
     return trimmed(F.substring_index(message, "\n", 1))
 
 
-def body(message: Column) -> Column:
-    """The message below its subject, cut with an ellipsis when it is long."""
+def body(message: Column, most: int | None = None) -> Column:
+    """The message below its subject; with ``most``, cut with an ellipsis past so many characters."""
     rest = trimmed(F.when(message.contains("\n"), F.regexp_replace(message, r"^[^\n]*\n", "")).otherwise(""))
-    cut = F.regexp_replace(F.substring(rest, 1, V.MAX_COMMIT_BODY), rf"[{V.SPACE}]+\z", "")
-    return F.when(F.length(rest) > V.MAX_COMMIT_BODY, F.concat(cut, F.lit("..."))).otherwise(rest)
+    if most is None:
+        return rest
+    cut = F.regexp_replace(F.substring(rest, 1, most), rf"[{V.SPACE}]+\z", "")
+    return F.when(F.length(rest) > most, F.concat(cut, F.lit("..."))).otherwise(rest)
 
 
 def first_parent(parents: Column) -> Column:

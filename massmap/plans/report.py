@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from massmap.functions.classify import flavor
 from massmap.functions.figures import (
-    baseline_column, change_text, comment_share, compact, file_count, share_text, signed, status_letter,
+    baseline_column, change_text, comment_share, compact, file_count, heaviest_first, share_text, signed, status_letter,
     weight_column,
 )
 from massmap.functions.fixed_values import (
@@ -18,7 +18,7 @@ from massmap.functions.fixed_values import (
 from massmap.functions.paths import base_name, folder_chain, folder_of
 from massmap.operators.hierarchy import direct_totals
 from massmap.operators.ordered import ranked, top
-from massmap.plans.view import HEAVIEST, SEPARATOR
+from massmap.plans.view import SEPARATOR
 from massmap.session import written
 
 HEADINGS = {
@@ -284,7 +284,7 @@ def walk_nodes(files: DataFrame, measure: str, aspect: str, threshold: float) ->
 
 
 def _key_part(size: Column, name: Column) -> Column:
-    return F.concat(F.lit("1"), F.lpad((F.lit(HEAVIEST) - size).cast("string"), 19, "0"), name)
+    return F.concat(F.lit("1"), heaviest_first(size), name)
 
 
 def walk(

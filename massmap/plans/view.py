@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massmap.functions.classify import flavor
-from massmap.functions.figures import baseline_column, metric_for, share, weight_column
+from massmap.functions.figures import baseline_column, heaviest_first, metric_for, share, weight_column
 from massmap.functions.fixed_values import FILE_KINDS, FLAVORS, MAX_RIBBON_PARTS, MIN_RIBBON_SHARE
 from massmap.functions.paths import base_name, depth_of, folder_chain, folder_of, folders_above, is_inside
 from massmap.operators.hierarchy import direct_totals, flavor_sums, subtree_totals
@@ -22,7 +22,6 @@ from massmap.session import written
 
 DIRECT = "."
 SEPARATOR = "\x01"
-HEAVIEST = 10**18
 
 
 @dataclass(frozen=True)
@@ -259,7 +258,7 @@ def _with_sort_key(folder_rows: DataFrame, direct_rows: DataFrame, order: str) -
     """
 
     def part(weight: Column, name: Column) -> Column:
-        heavy = F.lpad((F.lit(HEAVIEST) - weight).cast("string"), 19, "0") if order == "weight" else F.lit("")
+        heavy = heaviest_first(weight) if order == "weight" else F.lit("")
         return F.concat(F.lit("1"), heavy, name)
 
     parts = folder_rows.select("repo", F.col("path").alias("step"), part(F.col("sort_weight"), F.col("name")).alias("part"))
