@@ -1,15 +1,16 @@
-"""Trees of a run of commits as intervals: which content a path had, from which commit to which.
+"""Trees of a run of commits: which content a path had, from which commit to which.
 
 A listed range is a row of trees: every commit's own, and before a commit that does not
 follow the one listed before it, its parent's. Each tree's slim listing is read once. A
-path that keeps its mode and content over neighbouring trees is one interval, however
-many commits that is, and all changes of the range are where intervals begin and end.
-No tree is compared with another one, and no content is read.
+path that keeps its mode and content over neighbouring trees is one interval, and all
+changes of the range are where intervals begin and end. These ends come from one join of
+the listing with itself, a place further on, by repository, path and place: a path that
+changes in every commit of a long range is spread like any other. No content is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massmap.operators.changes import with_blob
@@ -34,41 +35,39 @@ def tree_entries(trees: DataFrame, snapshots: DataFrame) -> DataFrame:
     return trees.join(slim, ["repo", "rev"]).select("repo", "place", "sha", "path", "mode", "blob")
 
 
+def interval_ends(entries: DataFrame) -> DataFrame:
+    """``(repo, path, place, status, modes, blobs)`` wherever a path differs from the tree before."""
+    now = entries.select("repo", "path", "place", F.col("mode").alias("after_mode"), F.col("blob").alias("after_blob"), F.lit(True).alias("is"))
+    before = entries.select(
+        "repo", "path", (F.col("place") + 1).alias("place"), F.col("mode").alias("before_mode"), F.col("blob").alias("before_blob"),
+        F.lit(True).alias("was"),
+    )
+    both = now.join(before, ["repo", "path", "place"], "full_outer")
+    same = "`is` <=> was AND before_mode <=> after_mode AND before_blob <=> after_blob"
+    status = "CASE WHEN was IS NULL THEN 'added' WHEN `is` IS NULL THEN 'deleted' ELSE 'modified' END AS status"
+    return both.where(f"NOT ({same})").selectExpr(
+        "repo", "path", "place", status, "before_mode", "after_mode", "before_blob", "after_blob"
+    )
+
+
 def path_intervals(entries: DataFrame) -> DataFrame:
     """``(repo, path, mode, blob, from_place, to_place)``: maximal runs of trees in which a path stays the same.
 
-    A path's rows are sorted in one task, one slim row for each tree that holds it.
+    The n-th beginning of a path belongs to its n-th end; both are numbered slice by slice.
     """
-    path = Window.partitionBy("repo", "path").orderBy("place")
-    same = F.expr("lag_place <=> place - 1 AND lag_mode <=> mode AND lag_blob <=> blob")
-    marked = entries.select(
-        "repo", "path", "mode", "blob", "place", *[F.lag(name).over(path).alias(f"lag_{name}") for name in ("place", "mode", "blob")]
-    )
-    runs = marked.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(path))
-    return runs.groupBy("repo", "path", "run").agg(
-        F.first("mode").alias("mode"), F.first("blob").alias("blob"), F.min("place").alias("from_place"), F.max("place").alias("to_place")
-    ).drop("run")
+    ends = interval_ends(entries)
+    begun = ends.where("status != 'deleted'").select("repo", "path", F.col("place").alias("from_place"), F.col("after_mode").alias("mode"), F.col("after_blob").alias("blob"))
+    over = ends.where("status != 'added'").select("repo", "path", (F.col("place") - 1).alias("to_place"))
+    path = ["repo", "path"]
+    first = ranked(begun, path, [F.col("from_place")], "turn")
+    last = ranked(over, path, [F.col("to_place")], "turn")
+    return first.join(last, [*path, "turn"]).select("repo", "path", "mode", "blob", "from_place", "to_place")
 
 
-def interval_changes(intervals: DataFrame, trees: DataFrame) -> DataFrame:
+def interval_changes(entries: DataFrame, trees: DataFrame) -> DataFrame:
     """Changes of every listed commit, in the columns of ``changed_paths`` keyed by ``(repo, sha)``."""
-    path = Window.partitionBy("repo", "path").orderBy("from_place")
-    held = intervals.withColumns({
-        **{f"old_{name}": F.lag(name).over(path) for name in ("to_place", "mode", "blob")},
-        "next_from": F.lead("from_place").over(path),
-    })
-    none = "cast(null as string)"
-    begins = "struct(from_place as place, if(old_to_place <=> from_place - 1, 'modified', 'added') as status, " \
-        f"if(old_to_place <=> from_place - 1, old_mode, {none}) as before_mode, mode as after_mode, " \
-        f"if(old_to_place <=> from_place - 1, old_blob, {none}) as before_blob, blob as after_blob)"
-    ends = f"struct(to_place + 1 as place, 'deleted' as status, mode as before_mode, {none} as after_mode, " \
-        f"blob as before_blob, {none} as after_blob)"
-    events = held.select(
-        "repo", "path",
-        F.explode(F.expr(f"if(next_from <=> to_place + 1, array({begins}), array({begins}, {ends}))")).alias("event"),
-    ).select("repo", "path", "event.*")
     commits = trees.where("sha IS NOT NULL").select("repo", "place", "sha")
-    return events.join(commits, ["repo", "place"]).select(
+    return interval_ends(entries).join(commits, ["repo", "place"]).select(
         "repo", "sha", "path", F.col("path").alias("base_path"), "status", "before_mode", "after_mode", "before_blob", "after_blob"
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massmap.operators.intervals import changed_contents, changed_sides, interval_changes, path_intervals, tree_entries, tree_row
+from massmap.operators.intervals import changed_contents, changed_sides, interval_changes, tree_entries, tree_row
 from massmap.plans.diff import compared
 from massmap.session import written
 
@@ -34,7 +34,7 @@ def commit_files(listed: DataFrame, snapshots: DataFrame, renames: bool = True,
     """
     trees = written(tree_row(listed), "trees")
     entries = written(tree_entries(trees, snapshots), "entries")
-    changes = written(interval_changes(path_intervals(entries), trees), "changes")
+    changes = written(interval_changes(entries, trees), "changes")
     contents = written(changed_contents(changes, snapshots), "contents")
     before, after = changed_sides(changes, contents)
     listing = entries.where("sha IS NOT NULL").select("repo", "sha", "path")
