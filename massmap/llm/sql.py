@@ -85,14 +85,19 @@ LINES_LEFT = """
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p
   FROM {source} WHERE text IS NOT NULL),
 {name}_worded AS (
-  SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i
+  SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
   FROM {name}_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-{name}_blocks AS (
-  SELECT doc_id, i, p, lead(p, 2) OVER w AS q,
-    [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS block
+{name}_ahead AS (
+  SELECT doc_id, i, p, line, words, lead(p, 1) OVER w AS p2, lead(line, 1) OVER w AS line2, lead(words, 1) OVER w AS words2,
+    lead(p, 2) OVER w AS p3, lead(line, 2) OVER w AS line3
   FROM {name}_worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+{name}_blocks AS (
+  SELECT doc_id, i, p, p AS q, [line] AS block FROM {name}_ahead WHERE words >= 50
+  UNION ALL SELECT doc_id, i, p, p2, [line, line2] FROM {name}_ahead WHERE words + words2 >= 50
+  UNION ALL SELECT doc_id, i, p, p3, [line, line2, line3] FROM {name}_ahead WHERE p3 IS NOT NULL),
 {name}_late AS (
-  SELECT doc_id, p, q, row_number() OVER (PARTITION BY block ORDER BY doc_id, i) AS n FROM {name}_blocks WHERE q IS NOT NULL),
+  SELECT doc_id, p, q, row_number() OVER (PARTITION BY block ORDER BY doc_id, i) AS n FROM {name}_blocks),
 {name}_gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM {name}_late WHERE n > 1),
 {name}_kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM {name}_lines ANTI JOIN {name}_gone USING (doc_id, p)

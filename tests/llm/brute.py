@@ -87,7 +87,7 @@ def quality(text):
     )
 
 
-def lines_left(docs, min_lines=3):
+def lines_left(docs, min_lines=3, min_words=50):
     """docs: (id, text) -> {id: (worded lines, removed, text)}"""
     import re
 
@@ -100,10 +100,13 @@ def lines_left(docs, min_lines=3):
         lines = text.split("\n")
         places = [p for p, line in enumerate(lines) if worded(line)]
         gone = set()
-        for i in range(len(places) - min_lines + 1):
-            block = tuple(lines[p] for p in places[i : i + min_lines])
-            if seen.setdefault(block, (doc, i)) != (doc, i):
-                gone |= set(range(places[i], places[i + min_lines - 1] + 1))
+        for i in range(len(places)):
+            # every longer run is made of runs of two lines or more that share a line
+            for n in range(1, min(max(min_lines, 2), len(places) - i) + 1):
+                block = tuple(lines[p] for p in places[i : i + n])
+                enough = n >= min_lines or sum(len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in block) >= min_words
+                if enough and seen.setdefault(block, (doc, i)) != (doc, i):
+                    gone |= set(range(places[i], places[i + n - 1] + 1))
         left = [line for p, line in enumerate(lines) if p not in gone]
         out[doc] = (len(places), sum(p in gone for p in places), "\n".join(left))
     return out

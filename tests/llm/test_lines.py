@@ -37,6 +37,55 @@ def test_matches_brute_force(spark, min_lines):
     assert got == brute.lines_left([doc[:2] for doc in docs], min_lines)
 
 
+def longest_earlier(docs, min_lines):
+    """Every longest run that also starts earlier, by comparing all pairs of starts."""
+    lines = {doc: [line for line in text.split("\n") if line.strip()] for doc, text in docs}
+    starts = sorted((doc, i) for doc in lines for i in range(len(lines[doc])))
+    runs = {}
+    for at, (doc, i) in enumerate(starts):
+        best = (0, None)
+        for of_doc, of_i in starts[:at]:
+            n = 0
+            while i + n < len(lines[doc]) and of_i + n < len(lines[of_doc]) and lines[doc][i + n] == lines[of_doc][of_i + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, (of_doc, of_i))
+        runs[doc, i] = best
+    return sorted(
+        (doc, i, n, *of) for (doc, i), (n, of) in runs.items()
+        if n >= min_lines and runs.get((doc, i - 1), (0, None))[0] != n + 1
+    )
+
+
+@pytest.mark.parametrize("min_lines", [1, 3])
+def test_every_maximal_run_and_its_first_place(spark, min_lines):
+    draw = random.Random(11)
+    docs = [(doc, "\n".join(draw.choice("abc") for _ in range(draw.randint(0, 25)))) for doc in range(14)]
+    docs += [(50, docs[3][1] + "\nx\n" + docs[5][1]), (51, "a\n" * 37), (52, "b\n" + "a\n" * 21)]
+    frame = keyed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "doc_id", "text")
+    got = sorted((r.doc, r.i, r.n, r.of_doc, r.of_i) for r in lines.repeated_runs(frame, min_lines).collect())
+    assert got == longest_earlier(docs, min_lines)
+
+
+def test_few_lines_of_many_words_go(spark):
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(26))
+    docs = [
+        (1, f"{long}\nx\n{half}\n \n{half}\ny"), (2, f"own\n{long}\nother"), (3, f"{half}\n{half}\nz"), (4, f"z\n{half}\nu"),
+        (5, " ".join(f"w{i}" for i in range(49))), (6, " ".join(f"w{i}" for i in range(49))), (7, long), (8, f"{long}\n" * 3),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(frame).collect()}
+    assert got == brute.lines_left(docs)
+    assert got[2][2] == "own\nother" and got[3][2] == "z" and got[7][2] == "" and got[4][1] == got[6][1] == 0
+    alone = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame, min_words=None).collect()}
+    assert alone[2] == alone[7] == 0 and set(alone.values()) == {0}
+
+
+def test_texts_that_differ_under_one_id(spark):
+    frame = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (2, "x"), (2, None)], "doc_id long, text string")
+    assert lines.dedup_lines(frame).count() == 4
+
+
 def test_runs_are_maximal_and_point_to_their_source(spark):
     a = [f"a{i}" for i in range(10)]
     docs = [(1, "\n".join(a)), (2, "\n".join(["x", *a[2:8], "y"])), (3, "\n".join(["z", *a[2:8]]))]
