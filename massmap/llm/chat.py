@@ -112,15 +112,21 @@ def _variants(mapping: Mapping) -> list[list[str]]:
 
 
 def _dispatch(mappings: tuple[Mapping, ...]):
-    """(paths -> name of the mapping or null), as a chain of comparisons of hashes."""
+    """(paths -> name of the mapping or null), as a chain of comparisons of hashes.
+
+    Only paths that some mapping reads are hashed: an id beside the messages or a name
+    in a turn does not make another layout.
+    """
     seen: dict[tuple[str, ...], str] = {}
     for mapping in mappings:
         for variant in _variants(mapping):
             if seen.setdefault(tuple(variant), mapping.name) != mapping.name:
                 raise ValueError(f"{mapping.name} and {seen[tuple(variant)]} have the same field paths: {variant}")
 
+    known = sorted({path for variant in seen for path in variant})
+
     def chosen(paths: Column) -> Column:
-        print_ = fingerprint(paths)
+        print_ = fingerprint(F.filter(paths, lambda path: path.isin(known)))
         chain = F.when(F.lit(False), F.lit(""))
         for variant, name in seen.items():
             chain = chain.when(print_ == fingerprint(F.array(*[F.lit(p) for p in variant])), F.lit(name))
@@ -175,7 +181,7 @@ def canonical(records: DataFrame, record_col: str = "record", mappings: tuple[Ma
 
     The record column holds JSON text. A null or broken record, or one whose field
     paths no mapping covers, has the layout null and no turns, so that it can be
-    looked at instead of vanishing. A null role or text is empty; an optional system
+    looked at instead of vanishing. Fields that no mapping reads do not matter. A null role or text is empty; an optional system
     field without text gives no turn.
     """
     record = F.col(record_col)
@@ -216,8 +222,10 @@ def formatted(conversations: DataFrame, id_cols: list[str], turns_col: str = "tu
 
     ``start`` counts from the beginning of the turn's own rendering, so a mask can be
     applied turn by turn. Exactly the escaped texts of assistant turns are under it.
+    The count that ``gathered`` makes goes on to the answer as ``unmapped``.
     """
     turns = F.col(turns_col)
+    counts = [F.col("__unmapped").alias("unmapped")] if "__unmapped" in conversations.columns else []
 
     def mask(turn: Column, k: Column) -> Column:
         return F.when(
@@ -231,7 +239,7 @@ def formatted(conversations: DataFrame, id_cols: list[str], turns_col: str = "tu
 
     return conversations.select(
         *id_cols, F.array_join(F.transform(turns, rendered), "").alias("formatted"),
-        F.filter(F.transform(turns, mask), lambda span: span.isNotNull()).alias("loss"),
+        F.filter(F.transform(turns, mask), lambda span: span.isNotNull()).alias("loss"), *counts,
     )
 
 
@@ -268,12 +276,13 @@ def read_back(done: DataFrame, id_cols: list[str]) -> DataFrame:
 def gathered(rows: DataFrame, id_cols: list[str], order_cols: list[str]) -> DataFrame:
     """Records that hold one conversation in several rows: their turns in order, one row per conversation.
 
-    Rows with equal order are ordered by layout and turns, so the result depends on
-    the rows alone; a null order comes first.
+    Rows with equal order are ordered by their turns, so the result depends on the rows
+    alone; a null order comes first. ``__unmapped`` counts the rows without a layout.
     """
     held = F.collect_list(F.struct(*order_cols, "turns"))
     return rows.groupBy(*id_cols).agg(
-        F.flatten(F.transform(F.sort_array(held), lambda row: row["turns"])).alias("turns")
+        F.flatten(F.transform(F.sort_array(held), lambda row: row["turns"])).alias("turns"),
+        F.count_if(F.col("layout").isNull()).alias("__unmapped"),
     )
 
 
@@ -281,9 +290,10 @@ def format_records(
     records: DataFrame, id_cols: list[str], record_col: str = "record", order_cols: list[str] | None = None,
     mappings: tuple[Mapping, ...] = MAPPINGS,
 ) -> DataFrame:
-    """Fingerprint, map and format JSON records: ``id_cols``, ``formatted`` and ``loss``.
+    """Fingerprint, map and format JSON records: ``id_cols``, ``formatted``, ``loss`` and ``unmapped``.
 
-    With ``order_cols`` the rows of one id are one conversation and each row holds
+    ``unmapped`` is the number of the conversation's records that no mapping covers; their
+    texts are not in ``formatted``, so it is to be read with it. With ``order_cols`` the rows of one id are one conversation and each row holds
     some of its turns; without, every record is a conversation. Columns besides those
     named are not read, so their names cannot clash. Repeated rows are turns (or
     conversations) of their own. A null id is an id like any other. An empty table
@@ -293,6 +303,8 @@ def format_records(
     turns = canonical(slim, "__record", mappings)
     if order_cols is not None:
         turns = gathered(turns, id_cols, order_cols)
+    else:
+        turns = turns.withColumn("__unmapped", F.col("layout").isNull().cast("bigint"))
     return formatted(turns, id_cols)
 
 

@@ -37,6 +37,9 @@ RECORDS = [
     ("instruction", {"instruction": "do", "input": "", "output": "done"}, [("user", "do"), ("assistant", "done")]),
     ("instruction", {"instruction": "do", "output": "done"}, [("user", "do"), ("assistant", "done")]),
     ("turn", {"role": "user", "text": "t"}, [("user", "t")]),
+    ("messages", {"id": 7, "messages": [{"role": "user", "content": "hi", "name": "n"}], "meta": {"a": [1]}}, [("user", "hi")]),
+    ("turn", {"role": "user", "text": "t", "ts": None}, [("user", "t")]),
+    (None, {"prompt": "p", "completion": "c", "response": "r"}, []),
     (None, {"unknown": 1}, []),
     (None, {"messages": [{"role": "user"}]}, []),
     (None, None, []),
@@ -51,13 +54,24 @@ def test_layouts_are_recognised_by_their_paths(spark):
         name, _, turns = RECORDS[row.id] if row.id < len(RECORDS) else (None, None, [])
         assert row.layout == name and [(t.role, t.text) for t in row.turns] == turns
     done = chat.format_records(frame, ["id"])
-    assert done.columns == ["id", "formatted", "loss"]
+    assert done.columns == ["id", "formatted", "loss", "unmapped"]
+    assert {r.id for r in done.collect() if r.unmapped} == {i for i, (name, _, _) in enumerate(RECORDS) if name is None} | {len(RECORDS)}
     for row in chat.read_back(done, ["id"]).collect():
         turns = RECORDS[row.id][2] if row.id < len(RECORDS) else []
         assert [(t.role, t.text) for t in row.turns] == turns
         assert row.loss_text == "".join(text for role, text in turns if role == "assistant")
 
 
+def test_unmapped_rows_of_a_conversation_are_counted(spark):
+    rows = [
+        (1, 0, 9, '{"role": "user", "text": "q"}'), (1, 1, 9, '{"speech": "lost?"}'), (1, 2, 9, None),
+        (1, 3, 9, '{"role": "assistant", "text": "a", "name": "x"}'), (2, 0, 9, '{"role": "user", "text": "q"}'),
+    ]
+    frame = spark.createDataFrame(rows, "id long, turn long, unmapped long, record string")
+    got = {r.id: (r.unmapped, r.formatted.count("<|im_start|>")) for r in chat.format_records(frame, ["id"], order_cols=["turn"]).collect()}
+    assert got == {1: (2, 2), 2: (0, 1)}
+
+
 def test_mask_covers_exactly_the_assistant_texts(spark):
     frame = spark.createDataFrame([(1, json.dumps({"prompt": "p<|", "response": "<|r\\"}))], "id long, record string")
     row = chat.format_records(frame, ["id"]).first()
