@@ -254,7 +254,7 @@ def nearest(
     ``queries`` is a condition on ``vec_id``. Scores are inner products of the
     original vectors in double precision; equal scores go to the smaller id. Equal
     vectors are one class in the index with its k + 1 smallest ids: more than that no
-    query can need. A neighbour is missed with a probability of at most
+    query can need. Equal query vectors are one search, whose answer each of them gets. A neighbour is missed with a probability of at most
     1 - ``probability``.
 
     Rows with a null id, or whose vector is null, zero, of unusual length or holds a
@@ -289,7 +289,9 @@ def nearest(
                 yield frame.assign(cell=cells.of(np.array(frame["projected"].tolist(), float)))
 
     vectors = points.mapInPandas(celled, shape + ", cell long")
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vector")
+    # equal query vectors are searched for once, under the smallest of their ids
+    members = written(rows.where(queries).select(F.col("vec_id").alias("member"), "vector"), "members")
+    asked = members.groupBy("vector").agg(F.min("member").alias("query_id")).select("query_id", "vector")
     asked = asked.mapInPandas(
         _projected(columns, lifted, cells, False), "query_id long, vector array<double>, projected array<double>, cell long"
     )
@@ -317,7 +319,14 @@ def nearest(
         _routed(cells, limit), "query_id long, vector array<double>, projected array<double>, worst double, cell long"
     )
     found = home.unionByName(searched(further))
-    others = found.select("query_id", "score", F.explode("vec_ids").alias("vec_id")).where("vec_id != query_id")
+    each = found.select("query_id", "score", F.explode("vec_ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    done = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return done.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # one more than asked for, since each member leaves itself out
+    best = each.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k + 1)
+    best = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("__rank", "vec_id", "score"))).alias("best"))
+    best = best.join(asked.select("query_id", "vector"), "query_id").select("vector", "best")
+    answers = members.join(best, "vector").select(
+        F.col("member").alias("query_id"),
+        F.posexplode(F.slice(F.filter("best", lambda one: one["vec_id"] != F.col("member")), 1, k)).alias("at", "one"),
+    )
+    return answers.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")
