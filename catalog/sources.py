@@ -118,19 +118,21 @@ A13_SQL = O.with_ctes(O.SCANNED, f"""SELECT repo, folder, count(*) AS files, sum
 
 
 def a14(spark, sf):
+    from catalog.commits import spine
     from catalog.views import files
 
     home = place(spark, "export")
     index = files(spark, sf)
     texts = D.admit(A.byte_snapshots(spark, sf), ("config",))
-    S.export_snapshot(home, index, H.folders(index), None, S.previews(texts))
-    counts = [spark.read.parquet(f"{home}/{name}").groupBy("repo").agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name in ("files", "folders", "sources")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    S.export_snapshot(home, index, H.folders(index), spine(spark, sf), S.previews(texts))
+    counts = [spark.read.parquet(f"{home}/{name}").groupBy("repo").agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name in ("files", "folders", "sources", "spine")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 A14_SQL = O.with_ctes(O.CORPUS, f"""SELECT repo, count(*) AS rows, 'files' AS part FROM corpus GROUP BY repo
 UNION ALL SELECT repo, count(*), 'sources' FROM corpus GROUP BY repo
-UNION ALL SELECT repo, count(DISTINCT folder), 'folders' FROM (SELECT repo, unnest({O.folders_above('path')}) AS folder FROM corpus) GROUP BY repo""")
+UNION ALL SELECT repo, count(DISTINCT folder), 'folders' FROM (SELECT repo, unnest({O.folders_above('path')}) AS folder FROM corpus) GROUP BY repo
+UNION ALL SELECT conv_id::VARCHAR, count(*), 'spine' FROM conversations GROUP BY conv_id""")
 
 
 def a15(spark, sf):

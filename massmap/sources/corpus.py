@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """A directory as ``(repo, path, mode, size, content)`` with paths below ``root``.
 
@@ -50,12 +50,41 @@ def load_index(spark: SparkSession, place: str) -> DataFrame:
 def export_snapshot(
     place: str, files: DataFrame, folders: DataFrame, spine: DataFrame | None, previews: DataFrame
 ) -> None:
-    """Write files, folders, spine and one source record per file; a non-empty place is refused."""
+    """Write files, folders, spine and one source record per file: all of them or nothing.
+
+    The parts are written to a staging folder beside ``place``, which takes the name
+    ``place`` in one step once every part is there. A place that holds anything is
+    refused before any work and again at that step. Whatever fails, the staging folder goes and
+    ``place`` is as it was, so the next try starts afresh. On stores without an
+    atomic rename the step is only as safe as theirs.
+    """
+    spark = files.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(place.rstrip("/"))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = hadoop.Path(f"{target.toString()}.staging-{uuid.uuid4().hex}")
+
+    def refuse_if_taken() -> None:
+        if store.exists(target) and (store.getFileStatus(target).isFile() or len(store.listStatus(target))):
+            raise FileExistsError(f"{place} is not empty")
+
+    refuse_if_taken()
     parts = {"files": files, "folders": folders, "sources": previews}
     if spine is not None:
         parts["spine"] = spine
-    for name, frame in parts.items():
-        frame.write.mode("errorifexists").parquet(f"{place}/{name}")
+    try:
+        for name, frame in parts.items():
+            frame.write.mode("errorifexists").parquet(f"{staging.toString()}/{name}")
+        refuse_if_taken()
+        if store.exists(target):
+            store.delete(target, False)  # refuses a folder that has filled up meanwhile
+        if target.getParent() is not None:
+            store.mkdirs(target.getParent())
+        if not store.rename(staging, target):
+            raise OSError(f"{staging.toString()} could not take the name {place}")
+    finally:
+        if store.exists(staging):
+            store.delete(staging, True)
 
 
 def cut_text(text: Column, limit: int) -> Column:
@@ -81,7 +110,7 @@ def previews(texts: DataFrame, limit: int | None = None) -> DataFrame:
 def cut_lines(aligned: DataFrame, keys: Sequence[str] = ("repo",), limit: int | None = None) -> DataFrame:
     """Leading whole lines of each file's aligned listing within ``limit`` bytes.
 
-    The running sum stays inside one file, which the file size ceiling bounds.
+    The running sum stays inside one file; a file that was read as one row sets its size.
     """
     from pyspark.sql import Window
 

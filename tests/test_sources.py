@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from massmap.functions import text as T
@@ -129,3 +130,20 @@ def test_files_of_any_size_are_read_unless_a_ceiling_is_asked_for(spark):
     frame = spark.createDataFrame([("r", "big.py", "100644", len(body), body)], "repo string, path string, mode string, size bigint, content binary")
     assert D.admit(frame).first().measurement == "measured"
     assert D.admit(frame, max_bytes=2 << 20).first().measurement == "too-large"
+
+
+def test_an_export_is_whole_or_nothing(spark, tmp_path):
+    place = tmp_path / "out" / "bundle"
+    files = spark.createDataFrame([("r", "a.py")], "repo string, path string")
+    spine = spark.createDataFrame([("r", "c1")], "repo string, sha string")
+    broken = files.withColumn("content", F.raise_error(F.lit("unreadable disk")))
+    with pytest.raises(Exception, match="unreadable disk"):
+        S.export_snapshot(str(place), files, files, spine, broken)
+    assert not place.exists() and list(tmp_path.glob("**/*staging*")) == []
+    place.mkdir(parents=True)  # an empty folder is no earlier export
+    S.export_snapshot(str(place), files, files, spine, files)
+    assert sorted(p.name for p in place.iterdir()) == ["files", "folders", "sources", "spine"]
+    assert spark.read.parquet(str(place / "spine")).count() == 1
+    with pytest.raises(FileExistsError):
+        S.export_snapshot(str(place), files, files, None, files)
+    assert [p.name for p in place.parent.iterdir()] == ["bundle"] and (place / "spine").exists()
