@@ -104,10 +104,11 @@ def line_verdicts(lines: Column, syntax: Column) -> Column:
     """One letter per line from comment markers.
 
     Only files whose marker row has pairs that may stay open take the sequential
-    form; the rest judge each line alone.
+    form; the rest judge each line alone. The sequential form reads a file of n
+    lines as blocks of about sqrt(n): what is open passes from line to line and
+    from block to block, and no letter is copied more than sqrt(n) times.
     """
     carrying = [name for name, patterns in PATTERNS.items() if patterns["carries"]]
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("verdicts"))
 
     def plain_code(line: Column, row: Column) -> Column:
         """No character that could start a comment or a string: no need to look further."""
@@ -124,6 +125,10 @@ def line_verdicts(lines: Column, syntax: Column) -> Column:
             "",
         )
 
+    def once(value: Column, use) -> Column:
+        """Evaluate ``value`` once per row and use it inside the lambda."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def carried(row: Column) -> Column:
         def step(acc: Column, line: Column) -> Column:
             full = F.concat(acc["open"], line)
@@ -144,11 +149,27 @@ def line_verdicts(lines: Column, syntax: Column) -> Column:
                 .otherwise(judged)
             )
 
-        return F.aggregate(lines, start, step, lambda acc: acc["verdicts"])
+        def over_blocks(held: Column) -> Column:
+            """A state passes from block to block; only a block's own letters grow while its lines are read."""
+            size = F.ceil(F.sqrt(F.size(held))).cast("int")
+
+            def block(acc: Column, number: Column) -> Column:
+                entered = F.struct(acc["open"].alias("open"), F.lit("").alias("verdicts"))
+                read = F.aggregate(F.slice(held, number * size + 1, size), entered, step)
+                return once(
+                    read,
+                    lambda left: F.struct(
+                        left["open"].alias("open"), F.array_append(acc["blocks"], left["verdicts"]).alias("blocks")
+                    ),
+                )
+
+            start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("blocks"))
+            blocks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / size).cast("int"))
+            return F.when(F.size(held) == 0, "").otherwise(
+                F.aggregate(blocks, start, block, lambda acc: F.array_join(acc["blocks"], ""))
+            )
 
-    def once(value: Column, use) -> Column:
-        """Evaluate ``value`` once per row and use it inside the per-line lambda."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+        return once(lines, over_blocks)
 
     row = F.struct(
         *[pattern_column(syntax, part).alias(part) for part in ("keep", "state", "opened", "opened_span", "hint")]
