@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,56 +17,88 @@ from massmap.session import written
 
 
 def ancestors(commits: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(repo, seed, sha)``: every commit reachable from each seed, itself included.
+    """``(repo, seed, sha)``: every commit reachable from each seed, itself included."""
+    return reachable(commits, seeds.select("repo", F.col("sha").alias("seed"), "sha"), ["seed"])
+
+
+def reachable(
+    commits: DataFrame, starts: DataFrame, labels: Sequence[str] = (), stop: DataFrame | None = None
+) -> DataFrame:
+    """``(repo, labels, sha)`` reachable from ``starts`` of the same columns, themselves included.
+
+    Walks with different labels share their joins and do not see each other.
+    ``stop`` ``(repo, sha)`` is closed under going back, and no walk enters it.
 
-    Following first parents doubles its stride each round, so a straight history
-    of a million commits takes twenty joins, not a million. Side lines merged
-    into it start the next round, so rounds follow how deep merges nest.
+    First parents are followed in strides of 1, 2, 4, ... commits. What a walk
+    has reached holds everything behind it, so a step that lands there goes no
+    further, and strides end with the longest stretch that is still new. Side
+    lines merged into it start the next round: a straight history of a million
+    commits takes twenty joins, a round of short side lines two or three.
+    Parents that are no rows of ``commits`` are reached and lead nowhere. Null
+    shas start no walk.
     """
-    strides = _strides(commits)
-    sides = commits.select("repo", "sha", F.explode(F.expr("slice(parents, 2, greatest(size(parents) - 1, 0))")).alias("side"))
-    reached = None
-    frontier = seeds.select("repo", F.col("sha").alias("seed"), "sha").distinct()
+    keys = ["repo", *labels, "sha"]
+    strides = [_first_parents(commits)]
+    sides = commits.select("repo", "sha", F.explode(F.expr("slice(parents, 2, greatest(size(parents) - 1, 0))")).alias("__back"))
+    reached: list[DataFrame] = []
+
+    def unseen(rows: DataFrame) -> DataFrame:
+        rows = rows.where("sha IS NOT NULL").distinct()
+        if stop is not None:
+            rows = rows.join(stop, ["repo", "sha"], "left_anti").select(*keys)
+        return written(rows.join(_all(reached), keys, "left_anti") if reached else rows, "reached")
+
+    frontier = unseen(starts.select(*keys))
+    if frontier.isEmpty():
+        return frontier
     while not frontier.isEmpty():
-        line = frontier
-        for stride in strides:
-            steps = line.join(stride, ["repo", "sha"]).select("repo", "seed", F.col("back").alias("sha"))
-            line = line.unionByName(steps).distinct()
-        reached = written(line if reached is None else reached.unionByName(line).distinct(), "reached")
-        merged = line.join(sides, ["repo", "sha"]).select("repo", "seed", F.col("side").alias("sha")).distinct()
-        frontier = written(merged.join(reached, ["repo", "seed", "sha"], "left_anti"), "frontier")
-    return frontier if reached is None else reached
-
-
-def _strides(commits: DataFrame) -> list[DataFrame]:
-    """First-parent jumps of 1, 2, 4, ... commits, until none is left."""
-    step = written(
-        commits.select("repo", "sha", F.get("parents", F.lit(0)).alias("back")).where("back IS NOT NULL"), "stride"
-    )
-    strides = []
-    while not step.isEmpty():
-        strides.append(step)
-        ahead = step.select("repo", F.col("sha").alias("back"), F.col("back").alias("further"))
-        step = written(step.join(ahead, ["repo", "back"]).select("repo", "sha", F.col("further").alias("back")), "stride")
-    return strides
+        line, stride = [frontier], 0
+        reached.append(frontier)
+        while True:
+            if stride == len(strides):
+                strides.append(_doubled(strides[-1]))
+            found = unseen(_all(line).join(strides[stride], ["repo", "sha"]).select("repo", *labels, F.col("__back").alias("sha")))
+            if found.isEmpty():
+                break
+            line.append(found)
+            reached.append(found)
+            stride += 1
+        frontier = unseen(_all(line).join(sides, ["repo", "sha"]).select("repo", *labels, F.col("__back").alias("sha")))
+    return _all(reached)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _first_parents(commits: DataFrame) -> DataFrame:
+    step = commits.select("repo", "sha", F.get("parents", F.lit(0)).alias("__back")).where("__back IS NOT NULL").distinct()
+    return written(step, "stride")
+
+
+def _doubled(step: DataFrame) -> DataFrame:
+    """Jumps twice as long."""
+    ahead = step.select("repo", F.col("sha").alias("__back"), F.col("__back").alias("__further"))
+    return written(step.join(ahead, ["repo", "__back"]).select("repo", "sha", F.col("__further").alias("__back")), "stride")
 
 
 def commit_range(commits: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
-    """``(repo, sha)`` reachable from the target and not from the base."""
-    there = ancestors(commits, target).select("repo", "sha")
-    return there.join(ancestors(commits, base).select("repo", "sha"), ["repo", "sha"], "left_anti").distinct()
+    """``(repo, sha)`` reachable from the target and not from the base.
+
+    The walk from the target ends where the base has been.
+    """
+    return reachable(commits, target.select("repo", "sha"), stop=reachable(commits, base.select("repo", "sha")))
 
 
 def merge_base(commits: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
     """``(repo, sha)`` of the nearest common ancestors.
 
     Common ancestors are closed under going back, so the nearest are those that
-    are no parent of another one.
+    are no parent of another one. Both sides are walked in the same joins.
     """
-    common = ancestors(commits, one).select("repo", "sha").distinct().join(
-        ancestors(commits, other).select("repo", "sha").distinct(), ["repo", "sha"], "left_semi"
-    )
-    common = written(common, "common")
+    sides = one.select("repo", "sha", F.lit(0).alias("side")).unionByName(other.select("repo", "sha", F.lit(1).alias("side")))
+    met = reachable(commits, sides, ["side"]).groupBy("repo", "sha").agg(F.count("*").alias("sides"))
+    common = written(met.where("sides = 2").select("repo", "sha"), "common")
     behind = commits.join(common, ["repo", "sha"], "left_semi").select("repo", F.explode("parents").alias("sha"))
     return common.join(behind, ["repo", "sha"], "left_anti")
 
