@@ -55,8 +55,8 @@ def a5(spark, sf):
 A5_SQL = O.with_ctes(f"{O.CORPUS},{O.PARTS}", """SELECT repo, path FROM named n WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.repo = n.repo AND m.name = 'LICENSE'
   AND (m.folder = '' OR starts_with(n.path, m.folder || '/')))""")
 
-IGNORE = "# rules\n*.md\n!README.md\n/m0/dist/\ncoverage/\ntests/*.py\n**/fixtures/**\n"
-INNER = "*.json\n!config.json\n/app/core\n"
+IGNORE = "# rules\n*.MD\n!README.md\n/m0/dist/\nCoverage/\ntests/*.py\n**/fixtures/**\n"
+INNER = "*.json\n!config.json\n/APP/core\n*.sql\n!SCHEMA.*\n*.vue\n!page.*\n*.V?E\n"
 
 
 def ignore_files(spark, sf):
@@ -72,7 +72,8 @@ def a6(spark, sf):
 A6_SQL = O.with_ctes(f"{O.CORPUS},{O.PARTS}", r"""SELECT repo, path FROM named WHERE
   (regexp_matches(name, '\.md$') AND name <> 'README.md') OR starts_with(path, 'm0/dist/') OR regexp_matches(path, '(^|/)coverage/')
   OR regexp_matches(path, '^tests/[^/]*\.py$') OR regexp_matches(path, '(^|/)fixtures/')
-  OR (starts_with(path, 'm0/src/') AND regexp_matches(name, '\.json$') AND name <> 'config.json') OR starts_with(path, 'm0/src/app/core/')""")
+  OR (starts_with(path, 'm0/src/') AND regexp_matches(name, '\.json$') AND name <> 'config.json') OR starts_with(path, 'm0/src/app/core/')
+  OR (starts_with(path, 'm0/src/') AND name = 'page.vue')""")
 
 
 def a7(spark, sf):

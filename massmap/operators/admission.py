@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massmap.functions import fixed_values as V
@@ -105,6 +105,9 @@ def ignored(
     ``rules`` is ``ignore_rules`` output. Each candidate is a file or a folder
     above one; the last rule of a scope that matches it decides in that scope,
     any scope may ignore it, and an ignored folder takes everything below.
+
+    A scope is one row with all its rules in order, so candidates meet scopes,
+    never rules: rows stay paths by depth however long an ignore file is.
     """
     files = listing.select(*keys, "path", F.col("path").alias("entry"), F.lit(False).alias("is_folder"))
     holding = listing.select(*keys, folder_of(F.col("path")).alias("folder")).distinct()
@@ -116,15 +119,11 @@ def ignored(
     inside = F.when(F.col("base") == "", F.col("entry")).otherwise(
         F.substr(F.col("entry"), F.length("base") + 2)
     )
-    hits = scoped.join(rules, [*keys, "base"]).where(
-        (F.col("is_folder") | ~F.col("folders_only")) & F.call_function("rlike", inside, F.col("pattern"))
-    )
     verdicts = (
-        hits.groupBy(*keys, "entry", "is_folder", "base")
-        .agg(F.max_by("negated", "position").alias("negated"))
-        .groupBy(*keys, "entry", "is_folder")
-        .agg(F.bool_or(~F.col("negated")).alias("ignored"))
-        .where("ignored")
+        scoped.join(_scopes(rules, keys), [*keys, "base"])
+        .where(_last_match_ignores(inside, F.col("is_folder"), F.col("runs")))
+        .select(*keys, "entry", "is_folder")
+        .distinct()
     )
     ignored_folders = verdicts.where("is_folder").select(*keys, "entry")
     covered = steps.join(ignored_folders, [*keys, "entry"], "left_semi").select(*keys, "folder").distinct()
@@ -137,6 +136,32 @@ def ignored(
     return by_folder.unionByName(by_name).distinct()
 
 
+def _scopes(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, base, runs)``: the rules of each ignore file as one row, in order.
+
+    Neighbours that all ignore or all re-admit are one run, whose order among
+    themselves decides nothing: a run is one pattern for folders and one, without
+    the rules for folders only, for files (null if none is left).
+    """
+    scope = Window.partitionBy(*keys, "base").orderBy("position")
+    turned = F.coalesce((F.col("negated") != F.lag("negated").over(scope)).cast("int"), F.lit(0))
+    numbered = rules.withColumn("__turned", turned).withColumn("__run", F.sum("__turned").over(scope))
+    runs = numbered.groupBy(*keys, "base", "__run", "negated").agg(
+        F.concat_ws("|", F.collect_set("pattern")).alias("folders"),
+        F.concat_ws("|", F.collect_set(F.when(~F.col("folders_only"), F.col("pattern")))).alias("files"),
+    )
+    run = F.struct("__run", "negated", "folders", F.when(F.col("files") != "", F.col("files")).alias("files"))
+    return runs.groupBy(*keys, "base").agg(F.sort_array(F.collect_list(run)).alias("runs"))
+
+
+def _last_match_ignores(entry: Column, is_folder: Column, runs: Column) -> Column:
+    """Whether the last run of a scope that matches is one that ignores."""
+    matches = lambda run: F.call_function("rlike", entry, F.when(is_folder, run["folders"]).otherwise(run["files"]))
+    return F.aggregate(
+        runs, F.lit(False), lambda verdict, run: F.when(matches(run), ~run["negated"]).otherwise(verdict)
+    )
+
+
 def ignore_rules(ignore_files: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
     """Rules of ignore files ``(keys, path, text)``: base, position, pattern, negated, folders_only.
 
