@@ -66,3 +66,30 @@ def top(frame: DataFrame, group: list[str], order: list[Column], count: int, nam
         return ranked(frame, group, order, name).where(F.col(name) <= count)
     window = Window.partitionBy(*group).orderBy(*order)
     return frame.withColumn(name, F.row_number().over(window)).where(F.col(name) <= count)
+
+
+def far_page(
+    frame: DataFrame, group: list[str], order: list[Column], asked: int, limit: int, name: str = "rank"
+) -> DataFrame:
+    """Places ``asked + 1`` to ``asked + limit`` of each group, or its last page where it ends before.
+
+    Adds the place as ``name``, ``total`` (rows of the group) and ``offset`` (where its page
+    begins). ``asked`` is a multiple of ``limit`` and ``order`` total. Slices are counted first,
+    and rows are sorted only in those that a page reaches into. ``frame`` should be slim: it is
+    range-partitioned and written whole.
+    """
+    sliced = _sliced(frame, group, order)
+    earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    counted = sliced.groupBy(*group, _SLICE).agg(F.count("*").alias("__rows")).select(
+        *group, _SLICE, "__rows",
+        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__rows").over(Window.partitionBy(*group)).alias("total"),
+    )
+    last = F.floor((F.col("total") - 1) / limit) * limit
+    placed = counted.withColumn("offset", F.least(F.lit(asked), last).cast("bigint"))
+    reached = placed.where("__before < offset + {0} AND __before + __rows > offset".format(limit)).drop("__rows")
+    inside = Window.partitionBy(*group, _SLICE).orderBy(*order)
+    numbered = sliced.join(reached, [*group, _SLICE]).withColumn(name, F.col("__before") + F.row_number().over(inside))
+    return numbered.where((F.col(name) > F.col("offset")) & (F.col(name) <= F.col("offset") + limit)).select(
+        *frame.columns, name, "total", "offset"
+    )

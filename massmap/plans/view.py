@@ -17,7 +17,7 @@ from massmap.functions.figures import baseline_column, heaviest_first, metric_fo
 from massmap.functions.fixed_values import FILE_KINDS, FLAVORS, MAX_RIBBON_PARTS, MIN_RIBBON_SHARE
 from massmap.functions.paths import base_name, depth_of, folder_chain, folder_of, folders_above, is_inside
 from massmap.operators.hierarchy import direct_totals, flavor_sums, subtree_totals
-from massmap.operators.ordered import top
+from massmap.operators.ordered import far_page, top
 from massmap.session import written
 
 DIRECT = "."
@@ -482,10 +482,19 @@ def ranking_order(view: View) -> list[Column]:
 
 
 def ranked_page(files: DataFrame, subtree: DataFrame, view: View) -> DataFrame:
-    """One page of the ranking, with its total and the offset it was clamped to."""
+    """One page of the ranking, with its total and the offset it was clamped to.
+
+    A far page is found on paths and sort columns alone; only its rows are looked up whole.
+    """
     found = matching(files, subtree, view)
-    totals = found.groupBy("repo").agg(F.count("*").alias("ranked_total"))
     asked = view.offset // view.limit * view.limit
+    if asked + view.limit > 1000:
+        sorted_by = {"weight"} if view.metric == "name" else {"weight", _metric_column(view)}
+        slim = found.select("repo", "path", *sorted(sorted_by))
+        page = far_page(slim, ["repo"], ranking_order(view), asked, view.limit)
+        places = page.select("repo", "path", "rank", F.col("total").alias("ranked_total"), F.col("offset").alias("ranked_offset"))
+        return found.join(places, ["repo", "path"]).select(*found.columns, "rank", "ranked_total", "ranked_offset")
+    totals = found.groupBy("repo").agg(F.count("*").alias("ranked_total"))
     last = F.floor((F.col("ranked_total") - 1) / view.limit) * view.limit
     paged = totals.withColumn("ranked_offset", F.least(F.lit(asked), last).cast("bigint"))
     numbered = top(found, ["repo"], ranking_order(view), asked + view.limit)
