@@ -38,6 +38,18 @@ A2_SQL = """WITH s AS (SELECT conv_id::VARCHAR AS repo, conv_id || ':' || (turn
   FROM conversations, (VALUES (0), (0), (0), (1)) p(shift)) SELECT repo, rev, count(*) AS files, sum(size)::BIGINT AS bytes FROM s GROUP BY ALL"""
 
 
+def a2_newest(spark, sf):
+    """The listing of every conversation's last commit."""
+    turns = A.table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    heads = turns.select(F.col("conv_id").cast("string").alias("repo"), F.concat("conv_id", F.lit(":"), "turn").alias("rev"))
+    return S.revisions(A.commit_snapshots(spark, sf), heads).select("repo", "rev", "path", "size")
+
+
+A2_NEWEST_SQL = """WITH last AS (SELECT conv_id, max(turn) AS head FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS repo, conv_id || ':' || head AS rev, unnest(CASE WHEN turn = head THEN ['turns/' || turn || '.md', 'notes.md', 'dist/notes.md']
+  ELSE ['turns/' || turn || '.md'] END) AS path, strlen(text) AS size FROM conversations JOIN last USING (conv_id) WHERE turn >= head - 1"""
+
+
 def listing(spark, sf):
     return A.corpus(spark, sf).select("repo", "path")
 
@@ -187,6 +199,7 @@ FROM conversations c WHERE turn = (SELECT max(turn) FROM conversations d WHERE d
 
 ENTRIES = [
     ("a1_read_tree", a1, None),
+    ("a2_newest_revisions", a2_newest, A2_NEWEST_SQL),
     ("a2_revisions", a2, A2_SQL),
     ("a3_walkable", lambda spark, sf: D.walkable(listing(spark, sf)),
      O.with_ctes(f"{O.CORPUS},{O.PARTS}", f"SELECT repo, path FROM named WHERE NOT list_has_any(string_split(path, '/')[1:-2], {O.array(V.SKIPPED_FOLDERS)})")),

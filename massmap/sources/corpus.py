@@ -29,6 +29,14 @@ def revision(snapshots: DataFrame, repo: str | None = None, rev: str | None = No
     return snapshots if rev is None else snapshots.where(F.col("rev") == rev)
 
 
+def revisions(snapshots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The complete listings of the revisions ``(repo, rev)`` asked for, however many.
+
+    What is asked for twice is listed once; a revision that is not there has no rows.
+    """
+    return snapshots.join(wanted.select("repo", "rev"), ["repo", "rev"], "left_semi").select(*snapshots.columns)
+
+
 def distinct_listing(listing: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
     return listing.select(*keys, "path").distinct()
 

@@ -147,3 +147,10 @@ def test_an_export_is_whole_or_nothing(spark, tmp_path):
     with pytest.raises(FileExistsError):
         S.export_snapshot(str(place), files, files, None, files)
     assert [p.name for p in place.parent.iterdir()] == ["bundle"] and (place / "spine").exists()
+
+
+def test_asked_revisions_are_listed_once(spark):
+    rows = [("r", "1", "a"), ("r", "2", "a"), ("r", "2", "b"), ("s", "1", "c")]
+    listed = spark.createDataFrame(rows, "repo string, rev string, path string")
+    wanted = spark.createDataFrame([("r", "2"), ("r", "2"), ("s", "9")], "repo string, rev string")
+    assert sorted(map(tuple, S.revisions(listed, wanted).collect())) == [("r", "2", "a"), ("r", "2", "b")]
