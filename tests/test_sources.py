@@ -154,3 +154,13 @@ def test_asked_revisions_are_listed_once(spark):
     listed = spark.createDataFrame(rows, "repo string, rev string, path string")
     wanted = spark.createDataFrame([("r", "2"), ("r", "2"), ("s", "9")], "repo string, rev string")
     assert sorted(map(tuple, S.revisions(listed, wanted).collect())) == [("r", "2", "a"), ("r", "2", "b")]
+
+
+def test_rescan_reads_a_table_that_is_a_folder(spark, sf_dir, tmp_path):
+    from catalog.sources import m1, m1_listing
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    for query in (m1, m1_listing):
+        folder, file = (sorted(map(tuple, query(spark, place).collect())) for place in (str(tmp_path), sf_dir))
+        assert folder and folder == file
