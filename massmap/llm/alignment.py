@@ -31,6 +31,37 @@ from massmap.session import written
 HEAD = 1 << 16
 
 
+# --- strings by number ----------------------------------------------------------------------
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.dtype("<u8"))  # the first k bytes of eight
+
+
+class Spelled:
+    """The byte strings of a vocabulary, eight bytes of each at a time."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(string) for string in strings], np.int64)
+        self.parts, longest = [], max(map(len, strings), default=0)
+        for at in range(0, longest, 8):
+            self.parts.append(np.frombuffer(b"".join(string[at : at + 8].ljust(8, b"\0") for string in strings), "<u8"))
+
+    def ends(self, ids: np.ndarray, text: bytes) -> np.ndarray | None:
+        """Where each string ends in the text, which is all of them one after another; None if it is not."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if (ends[-1] if len(ends) else 0) != len(text):
+            return None
+        padded, at = text + bytes(8), ends - sizes
+        seen = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
+        for part in self.parts:
+            if ((seen[at] ^ part[ids]) & _MASKS[np.minimum(sizes, 8)]).any():
+                return None
+            longer = np.flatnonzero(sizes > 8)
+            if not len(longer):
+                break
+            ids, at, sizes = ids[longer], at[longer] + 8, sizes[longer] - 8
+        return ends
+
+
 # --- tokenizers ---------------------------------------------------------------------------
 class ByteLevel(Encoder):
     """A byte-level vocabulary file; strings of special tokens inside a text are plain text."""
@@ -45,7 +76,7 @@ class ByteLevel(Encoder):
             bytes(marks[c] for c in token) if set(token) <= set(marks) else token.encode()
             for token in (self.tokenizer.id_to_token(k) or "" for k in range(size))
         ]
-        self.sizes = np.array([len(token) for token in self.bytes], np.int64)
+        self.spelled = Spelled(self.bytes)
 
     def ids(self, text: str) -> np.ndarray:
         raw = array("I", self.fast(text)).tobytes() if self.fast and not _PLAIN.search(text) else self.whole(text)
@@ -66,10 +97,10 @@ class Pieces:
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.bytes.append(piece.replace("▁", " ").encode())
-        self.sizes = np.array([len(piece) for piece in self.bytes], np.int64)
+        self.spelled = Spelled(self.bytes)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+        return self.model.encode_as_numpy(text).astype(np.int64)
 
 
 _LOADED: dict[tuple[type, str], ByteLevel | Pieces] = {}
@@ -83,6 +114,7 @@ def loaded(kind: type, path: str):
 
 # --- one document ---------------------------------------------------------------------------
 _WIDE = 8  # bytes of an end
+_NEAR = 16  # so many ends are compared one by one before slices are
 
 
 def equal_run(a: bytes, b: bytes, i: int, j: int, most: int) -> int:
@@ -119,7 +151,13 @@ def inner_ends(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     a, b = a.tolist(), b.tolist()
     inner_a, inner_b, i, j, size_a, size_b = [], [], 0, 0, len(a), len(b)
     while i < size_a:
-        if a[i] == b[j]:
+        near = min(i + _NEAR, size_a, i + size_b - j)
+        while i < near and a[i] == b[j]:
+            i += 1
+            j += 1
+        if i == near:  # the run may go on, and for long
+            if i == size_a:
+                break
             run = equal_run(raw_a, raw_b, _WIDE * i, _WIDE * j, _WIDE * min(size_a - i, size_b - j)) // _WIDE
             i, j = i + run, j + run
             continue
@@ -150,9 +188,11 @@ class Aligned:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs of tokens whose byte ranges overlap: one for each byte where either side ends a token."""
-        ends = np.concatenate([self.ends_a, self.ends_b[~self.last_b]])
-        ends.sort()
-        return self.ends_a.searchsorted(ends), self.ends_b.searchsorted(ends)
+        size = int(self.ends_a[-1]) + 1
+        is_a, is_b = np.zeros(size, bool), np.zeros(size, bool)
+        is_a[self.ends_a], is_b[self.ends_b] = True, True
+        at = np.flatnonzero(is_a | is_b)
+        return np.cumsum(is_a)[at] - is_a[at], np.cumsum(is_b)[at] - is_b[at]
 
     def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked ids as ``a * width + b``, ascending, and how many links hold each."""
@@ -169,14 +209,16 @@ class Aligned:
         groups_a, groups_b = np.cumsum(self.last_a) - self.last_a, np.cumsum(self.last_b) - self.last_b
         behind_a = np.flatnonzero(self.last_a) + 1  # tokens of A up to the end of each group
         behind_b = np.concatenate([[0], np.flatnonzero(self.last_b) + 1])
-        out = np.empty(len(self.ids_a) + len(self.ids_b), object)
+        out = np.empty(len(self.ids_a) + len(self.ids_b), words_a.dtype)
         out[np.arange(len(self.ids_a)) + behind_b[groups_a]] = words_a[self.ids_a + self.last_a * (len(words_a) // 2)]
         out[np.arange(len(self.ids_b)) + behind_a[groups_b]] = words_b[self.ids_b + self.last_b * (len(words_b) // 2)]
-        return "".join(out.tolist())[:-1]
+        return out.tobytes().translate(None, b"\0")[:-1].decode()
 
 
 def words(size: int, mark: str) -> np.ndarray:
-    return np.array([f"{k}," for k in range(size)] + [f"{k}{mark}" for k in range(size)], object)
+    """Numbers with a comma, then with ``mark``, each in eight bytes that zeros fill up."""
+    told = [f"{k},".encode() for k in range(size)] + [f"{k}{mark}".encode() for k in range(size)]
+    return np.frombuffer(b"".join(word.ljust(8, b"\0") for word in told), np.uint64)
 
 
 def align(text: str | None, a: ByteLevel, b: Pieces) -> Aligned | None:
@@ -185,9 +227,8 @@ def align(text: str | None, a: ByteLevel, b: Pieces) -> Aligned | None:
         return None
     ids_a, ids_b = a.ids(" " + text), b.ids(text)
     whole = (" " + text).encode()
-    if b"".join(map(a.bytes.__getitem__, ids_a.tolist())) != whole or b"".join(map(b.bytes.__getitem__, ids_b.tolist())) != whole:
-        return None
-    return Aligned(ids_a, ids_b, np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]))
+    ends_a, ends_b = a.spelled.ends(ids_a, whole), b.spelled.ends(ids_b, whole)
+    return None if ends_a is None or ends_b is None else Aligned(ids_a, ids_b, ends_a, ends_b)
 
 
 # --- the corpus -------------------------------------------------------------------------------

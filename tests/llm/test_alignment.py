@@ -46,6 +46,30 @@ def test_a_long_diagonal_is_skipped():
     assert alignment.inner_ends(a, b) == ([500, 700_000], [])
 
 
+def test_strings_are_found_in_their_places():
+    rng = random.Random(2)
+    strings = [b"", b"\0", b"a", b"\0\0", b"12345678", b"123456789", b"12345678\0", b"x" * 16, b"x" * 17, bytes(range(40))]
+    held = alignment.Spelled(strings)
+    for _ in range(300):
+        ids = np.array([rng.randrange(len(strings)) for _ in range(rng.randrange(8))], np.int64)
+        text = b"".join(strings[k] for k in ids)
+        assert held.ends(ids, text).tolist() == list(accumulate(len(strings[k]) for k in ids))
+        assert held.ends(ids, text + b"\0") is None
+        if text:
+            at = rng.randrange(len(text))
+            assert held.ends(ids, text[:at] + bytes([text[at] ^ 1]) + text[at + 1 :]) is None and held.ends(ids, text[:-1]) is None
+
+
+def test_short_and_long_runs_about_the_near_limit():
+    for run in range(1, 3 * alignment._NEAR):
+        a = [k for k in range(1, 4 * run + 1) if k != run + 1]
+        b = [k for k in range(1, 4 * run + 1) if k != 2 * run + 1]
+        if a[-1] == b[-1]:
+            assert alignment.inner_ends(np.array(a), np.array(b)) == (
+                [i for i, end in enumerate(a) if end not in b], [i for i, end in enumerate(b) if end not in a]
+            )
+
+
 def by_definition(text, both):
     """n_a, n_b, groups as text, links as id pairs; None without tokens."""
     a, b = both
